@@ -12,14 +12,17 @@ from metaframe.llm.shared import written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
-
+    ("toxicity", stages.without_toxic),
+    ("line_dedup", stages.without_repeated_lines),
     ("ngram_join", stages.one_of_each_group),
-
+    ("decontamination", stages.without_contaminated),
+    ("packing", stages.packed),
 ]
 
 #: Learned toxicity weights and MinHash signatures cannot be stated in SQL; tests/llm compares run() with a plain version.
 ORACLE_SQL = None
 
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:

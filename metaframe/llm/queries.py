@@ -5,17 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from metaframe.llm import sql, toxicity
+from metaframe.llm.decontaminate import contamination
+from metaframe.llm.line_dedup import dedup_lines
 from metaframe.llm.ngram_join import ngram_groups
+from metaframe.llm.packing import pack_documents
 from metaframe.llm.shared import table
+from metaframe.llm.stages import tokenizer_path
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.scored(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scores.select("row.doc_id", toxicity.held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (the lines' numbers, from 0) and the digest of the text that stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = dedup_lines(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")))
+    return out.select("doc_id", "n_lines", F.size("_gone").cast("long").alias("n_removed"), F.col("_gone").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    f.__name__: f
+    for f in (
+        op2_ngram_jaccard_join,
+        op3_harmonic_packing,
+        op5_toxicity,
+        op8_decontamination,
+        op9_line_dedup,
+    )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": sql.NGRAM_JOIN,
+    "op8_decontamination": sql.DECONTAMINATION,
+}

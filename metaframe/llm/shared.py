@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of 8-byte ids that are broadcast (32 MB); beyond it joins shuffle.
@@ -39,6 +39,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """ids marked for a broadcast when it has at most `limit` rows. It should be a written table, which is cheap to count."""
-    return F.broadcast(ids) if ids.count() <= limit else ids
+def small(df: DataFrame, limit: int = BROADCAST_IDS, weight: Column | None = None) -> DataFrame:
+    """df marked for a broadcast when its rows, or the sum of their weights, are `limit` at most. It should be a written table, which is cheap to count."""
+    size = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df

@@ -3,10 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from metaframe.llm.decontaminate import contamination
+from metaframe.llm.line_dedup import dedup_lines
 from metaframe.llm.ngram_join import keep_one_of_each_group
+from metaframe.llm.packing import pack_documents
+from metaframe.llm.shared import table
+from metaframe.llm.toxicity import THRESHOLD, fit, scored
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose toxicity score is below the threshold."""
+    return scored(docs, fit(docs, table(spark, sf_dir, "labels"))).where(F.col("score") < THRESHOLD).select("row.*")
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with one line of each group of near copies, n_chars as it then is. A document that loses all its lines goes."""
+    deduped = dedup_lines(docs).where((F.size("_gone") == 0) | (F.length("text") > 0))
+    return deduped.select(*[F.when(F.size("_gone") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group that the n-gram join links."""
     return keep_one_of_each_group(docs).select(docs.columns)
+
+
+def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are not contaminated by the benchmark."""
+    return contamination(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select("row.*")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents' token ids, in sequences of at most 2048."""
+    return pack_documents(docs, tokenizer_path())
