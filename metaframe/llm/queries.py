@@ -12,6 +12,7 @@ from metaframe.llm.decontaminate import contamination
 from metaframe.llm.line_dedup import dedup_lines
 from metaframe.llm.ngram_join import ngram_groups
 from metaframe.llm.packing import pack_documents
+from metaframe.llm.quality import quality
 from metaframe.llm.shared import table
 from metaframe.llm.stages import tokenizer_path
 
@@ -30,6 +31,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("row.doc_id", toxicity.held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_ngram_jaccard_join,
         op3_harmonic_packing,
         op5_toxicity,
+        op7_quality_rules,
         op8_decontamination,
         op9_line_dedup,
     )
@@ -55,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": sql.NGRAM_JOIN,
+    "op7_quality_rules": sql.QUALITY,
     "op8_decontamination": sql.DECONTAMINATION,
 }

@@ -39,3 +39,28 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(words_hit.n, 0)::BIGINT AS n
   sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(words_hit.n, 0) > 0 AND 20 * coalesce(words_hit.n, 0) >= len(ws) AS contaminated
 FROM dw LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+QUALITY = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM d, unnest(range(1, len(ws) - 3)) AS t(i)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM rep, unnest(range(i, i + 5)) AS t(p) GROUP BY 1),
+raw AS MATERIALIZED (SELECT doc_id, host, text, line FROM d, unnest(string_split(text, chr(10))) AS t(line) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw GROUP BY 1),
+lines AS MATERIALIZED (
+  SELECT doc_id, host, text, translate(lower(l), '123456789', '000000000') AS line, len(string_split(l, ' ')) AS words
+  FROM (SELECT doc_id, host, text, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS l FROM raw)),
+marks AS (SELECT doc_id, min(md5(line)) AS mark FROM lines GROUP BY 1),
+hosts AS (SELECT host, greatest(9, floor(0.01 * count(DISTINCT text))) AS cap FROM d GROUP BY 1),
+frequent AS (SELECT host, line FROM lines JOIN marks USING (doc_id) JOIN hosts USING (host) GROUP BY host, line, cap HAVING count(DISTINCT mark) > cap),
+removed AS (SELECT doc_id, sum(words) AS n FROM lines JOIN frequent USING (host, line) GROUP BY 1),
+base AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(length(array_to_string(ws, '')), 0)::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.n, 0)::BIGINT AS n_removed_words
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN removed USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_removed_words >= 0.3 * n_words AS kept
+FROM base
+"""
