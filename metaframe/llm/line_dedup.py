@@ -24,8 +24,7 @@ from metaframe.llm.kernels import U64, WHITE, Texts, batches, int64, list_array,
 from metaframe.llm.shared import small, written
 
 SHINGLE = 8
-#: Lines link when 10 * intersection >= 8 * union.
-SIMILARITY = 0.8
+# Lines link when 10 * intersection >= 8 * union, a similarity of 0.8.
 BANDS, ROWS = 10, 4
 #: Lines of fewer characters other than white space are never removed: short lines recur by chance.
 MIN_CHARS = 60
@@ -70,7 +69,7 @@ class Lines:
 
 
 def _signatures(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(stream, 4 << 20):
+    for batch in batches(stream, 1 << 20):
         lines = Lines(batch.column(1))
         own = lines.eligible()
         start, width = lines.start[own], lines.end[own] - lines.start[own] - SHINGLE + 1
@@ -93,26 +92,29 @@ def _signatures(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([ids, pa.array(lines.number[own].astype(np.int64)), int64(lines.hashes(own)), list_array(keys.ravel(), np.concatenate(([0], np.cumsum(counts))))], names=["id", "line", "hash", "keys"])
 
 
-def _shingled(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each eligible line's hash and sorted distinct shingles, one batch of texts at a time."""
+def _squeezed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each eligible line's hash and its characters."""
     for batch in batches(stream, 1 << 20):
         lines = Lines(batch.column(0))
         own = lines.eligible()
-        rolled = lines.rolled()
-        sets = [np.unique(rolled[a : b - SHINGLE + 1]) for a, b in zip(lines.start[own], lines.end[own], strict=True)]
-        flat = np.concatenate(sets) if sets else np.zeros(0, U64)
-        yield pa.record_batch([int64(lines.hashes(own)), list_array(flat, np.concatenate(([0], np.cumsum([len(s) for s in sets]))))], names=["hash", "members"])
+        text = lines.points.astype(np.uint32).tobytes()
+        yield pa.record_batch([int64(lines.hashes(own)), pa.array([text[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(lines.start[own], lines.end[own], strict=True)], pa.string())], names=["hash", "chars"])
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingles of each squeezed line."""
+    lines = Lines(column)
+    rolled = lines.rolled()
+    return [np.unique(rolled[a : b - SHINGLE + 1]) for a, b in zip(lines.start, lines.end, strict=True)]
 
 
 def _verified(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in stream:
-        left, right = batch.column(2), batch.column(3)
-        lo, ro, lv, rv = left.offsets.to_numpy(), right.offsets.to_numpy(), left.values.to_numpy(), right.values.to_numpy()
+    """u, v and both lines' characters: the pairs that link."""
+    for batch in batches(stream, 1 << 19, "left"):
         keep = []
-        for i in range(batch.num_rows):
-            a, b = lv[lo[i] : lo[i + 1]], rv[ro[i] : ro[i + 1]]
+        for a, b in zip(_sets(batch.column(2)), _sets(batch.column(3)), strict=True):
             same = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(same >= SIMILARITY * (len(a) + len(b) - same))
+            keep.append(10 * same >= 8 * (len(a) + len(b) - same))
         mask = pa.array(keep, pa.bool_())
         yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
@@ -126,8 +128,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = keys.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high").select("key", "low")
     pairs = written(keys.join(buckets, "key").where("hash <> low").select(F.col("hash").alias("u"), F.col("low").alias("v")).distinct(), "pairs")
     asked = small(written(pairs.select(F.explode(F.array("u", "v")).alias("hash")).distinct(), "asked"))
-    sets = written(docs.select("text").mapInArrow(_shingled, "hash long, members array<long>").join(asked, "hash").dropDuplicates(["hash"]), "sets")
-    linked = pairs.join(sets.select(F.col("hash").alias("u"), F.col("members").alias("left")), "u").join(sets.select(F.col("hash").alias("v"), F.col("members").alias("right")), "v")
+    texts = written(docs.select("text").mapInArrow(_squeezed, "hash long, chars string").join(asked, "hash").dropDuplicates(["hash"]), "texts")
+    linked = pairs.join(texts.select(F.col("hash").alias("u"), F.col("chars").alias("left")), "u").join(texts.select(F.col("hash").alias("v"), F.col("chars").alias("right")), "v")
     found = components(linked.select("u", "v", "left", "right").mapInArrow(_verified, "u long, v long"))
     lines = signed.drop("keys").join(found, F.col("hash") == F.col("node"), "left").select("id", "line", "hash", F.coalesce("root", "hash").alias("component"))
     lines = written(lines, "lines")
