@@ -15,6 +15,11 @@ from metaframe.llm.packing import pack_documents
 from metaframe.llm.quality import quality
 from metaframe.llm.shared import table
 from metaframe.llm.stages import tokenizer_path
+from metaframe.llm.warc import archived
+
+
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +55,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_warc_archive,
         op2_ngram_jaccard_join,
         op3_harmonic_packing,
         op5_toxicity,
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_warc_archive": sql.WARC,
     "op2_ngram_jaccard_join": sql.NGRAM_JOIN,
     "op7_quality_rules": sql.QUALITY,
     "op8_decontamination": sql.DECONTAMINATION,
