@@ -73,3 +73,17 @@ SELECT page_id, n::BIGINT AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM h
 """
+
+_CONTROLS = r"<s>|</s>|\[TURN\]|\[TEXT\]|\[END\]|\[INST\]|\[/INST\]|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>"
+_ESCAPED = "|".join(x[: 2 if x[0] == "\\" else 1] + r"\\*" + x[2 if x[0] == "\\" else 1 :] for x in _CONTROLS.replace(r"\|", "\0").split("|")).replace("\0", r"\|")
+
+CHAT = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, ['user', 'assistant'][i + 1], '</s>[INST] ok [/INST]' FROM range(2) AS t(i))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (7 + sum(17 + length(role) + length(text) + len(regexp_extract_all(role, '{_ESCAPED}')) + len(regexp_extract_all(text, '{_ESCAPED}'))))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
