@@ -133,7 +133,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = components(linked.select("u", "v", "left", "right").mapInArrow(_verified, "u long, v long"))
     lines = signed.drop("keys").join(found, F.col("hash") == F.col("node"), "left").select("id", "line", "hash", F.coalesce("root", "hash").alias("component"))
     lines = written(lines, "lines")
-    return lines, lines.groupBy("component").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first.id", "first.line")
+    return lines, written(lines.groupBy("component").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first.id", "first.line"), "stay")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

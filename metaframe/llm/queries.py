@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from metaframe.llm import sql, toxicity
 from metaframe.llm.chat import format_turns, read_back
 from metaframe.llm.decontaminate import contamination
+from metaframe.llm.html_extract import main_text
 from metaframe.llm.line_dedup import dedup_lines
 from metaframe.llm.ngram_join import ngram_groups
 from metaframe.llm.packing import pack_documents
@@ -43,6 +44,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("row.doc_id", toxicity.held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_harmonic_packing,
         op4_chat_format,
         op5_toxicity,
+        op6_html_extraction,
         op7_quality_rules,
         op8_decontamination,
         op9_line_dedup,
@@ -77,6 +83,7 @@ SQL: dict[str, str] = {
     "op1_warc_archive": sql.WARC,
     "op2_ngram_jaccard_join": sql.NGRAM_JOIN,
     "op4_chat_format": sql.CHAT,
+    "op6_html_extraction": sql.HTML,
     "op7_quality_rules": sql.QUALITY,
     "op8_decontamination": sql.DECONTAMINATION,
 }

