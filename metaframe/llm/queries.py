@@ -12,6 +12,7 @@ from metaframe.llm.chat import format_turns, read_back
 from metaframe.llm.decontaminate import contamination
 from metaframe.llm.html_extract import main_text
 from metaframe.llm.line_dedup import dedup_lines
+from metaframe.llm.lm import lm_scores
 from metaframe.llm.ngram_join import ngram_groups
 from metaframe.llm.packing import pack_documents
 from metaframe.llm.quality import quality
@@ -64,6 +65,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("_gone").cast("long").alias("n_removed"), F.col("_gone").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_quality_rules,
         op8_decontamination,
         op9_line_dedup,
+        op10_lm_scoring,
     )
 }
 
