@@ -13,6 +13,7 @@ A row of output is a turn, so conversations of any length are formatted without
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -43,6 +44,7 @@ class Assembler:
     """Ids of a turn: the tokenizer's, and reserved ids above them."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
