@@ -2,8 +2,9 @@
 
 DataFrame functions only. Lines are normalised (white space runs to one space, trimmed, lower case, digits to
 0) and hashed. For each host, the documents that hold a line are counted; a line above the host's limit is
-removed, and a document of which too little remains is rejected. A document is counted by a MinHash of its
-lines, so copies and near copies of one text count about once and do not make their own lines frequent.
+removed, and a document of which too little remains is rejected. For a line, a document is
+counted by a MinHash of its other lines, so copies and near copies of one text count about once and do not
+make their own lines frequent.
 
 Row-level work is arrays within a row; only hashes of lines are shuffled, pre-aggregated, and the hot hosts
 and lines never meet in one task.
@@ -72,18 +73,22 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"), F.col(text_col).alias("_text"))
     normal = lambda x: F.translate(F.lower(F.trim(F.regexp_replace(x, _WHITE, " "))), "123456789", "000000000")
-    own = F.transform("_lines", lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.size(F.split(F.trim(F.regexp_replace(x, _WHITE, " ")), " ")).cast("long").alias("words")))
-    base = counts(docs, "_text").select(
-        "_id", "_host", F.xxhash64(F.coalesce("_text", F.lit("")), F.lit(0)).alias("_content"), own.alias("_own"), F.xxhash64(F.array_min(F.transform("_lines", lambda x: F.md5(normal(x).cast("binary"))))).alias("_mark"),
+    line = lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.md5(normal(x).cast("binary")).alias("sign"), F.size(F.split(F.trim(F.regexp_replace(x, _WHITE, " ")), " ")).cast("long").alias("words"))
+    base = counts(docs, "_text").withColumn("_l", F.transform("_lines", line))
+    base = base.withColumn("_least", F.slice(F.sort_array(F.array_distinct(F.transform("_l", lambda x: x.sign))), 1, 2))
+    first, second = F.get("_least", F.lit(0)), F.coalesce(F.get("_least", F.lit(1)), F.get("_least", F.lit(0)))
+    own = F.transform("_l", lambda x: F.struct(x.line, x.words, F.xxhash64(F.when(x.sign == first, second).otherwise(first)).alias("mark")))
+    base = base.select(
+        "_id", "_host", F.xxhash64(F.coalesce("_text", F.lit("")), F.lit(0)).alias("_content"), own.alias("_own"),
         *[f"_{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
     )
     base = written(base, "quality")
-    texts = base.select("_host", "_content", "_own", "_mark").dropDuplicates(["_host", "_content"])
+    texts = base.select("_host", "_content", "_own").dropDuplicates(["_host", "_content"])
     hosts = texts.groupBy("_host").agg(F.greatest(F.lit(LEAST - 1), F.floor(LIMIT * F.count("*"))).alias("limit"))
-    lines = texts.select("_host", "_content", "_mark", F.explode("_own").alias("x")).select("_host", "_content", "_mark", "x.line", "x.words")
-    holders = lines.select("_host", "line", "_mark").distinct().groupBy("_host", "line").agg(F.count("*").alias("n"))
+    lines = texts.select("_host", "_content", F.explode("_own").alias("x")).select("_host", "_content", "x.line", "x.words", "x.mark")
+    holders = lines.select("_host", "line", "mark").distinct().groupBy("_host", "line").agg(F.count("*").alias("n"))
     frequent = holders.where(F.col("n") >= LEAST).join(hosts, "_host").where("n > limit").select("_host", "line")
     removed = lines.join(frequent, ["_host", "line"]).groupBy("_host", "_content").agg(F.sum("words").alias("_removed"))
-    out = base.drop("_own", "_mark").join(removed, ["_host", "_content"], "left").withColumn("_removed", F.coalesce("_removed", F.lit(0).cast("long")))
+    out = base.drop("_own").join(removed, ["_host", "_content"], "left").withColumn("_removed", F.coalesce("_removed", F.lit(0).cast("long")))
     kept = ~F.col("_base_failed") & (F.col("_n_words") - F.col("_removed") >= F.lit(REMAINS) * F.col("_n_words"))
     return out.select(F.col("_id").alias(id_col), *[F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], kept.alias("kept"), F.col("_removed").alias("n_removed_words"))

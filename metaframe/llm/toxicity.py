@@ -25,7 +25,7 @@ from metaframe.llm.kernels import NOT_ALNUM, Texts, Words, batches, byte_class,
 from metaframe.llm.kernels import _BYTE_VALUES as BYTE_VALUES
 
 #: Most labelled rows of each class that fitting reads, chosen by the hash of their ids.
-SAMPLE = 5000
+SAMPLE = 3000
 THRESHOLD = 0.3
 #: Words of a clause that are read on either side of a match.
 REACH = 12

@@ -268,7 +268,9 @@ class Reader(DataSourceReader):
             size += n
         return [Files(x) for x in out]
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without files
+            return
         fs, _ = pafs.FileSystem.from_uri(self.path)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         types = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in SCHEMA.split(", ")]

@@ -1,0 +1,373 @@
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from metaframe.llm import chat, decontaminate, html_extract, line_dedup, lm, ngram_join, packing, quality, toxicity, warc
+from metaframe.llm.components import components
+from metaframe.llm.stages import tokenizer_path
+
+DOCS = "doc_id long, text string, source string, n_words long, component_id string, score int, row int, id int, keys int"
+LOW = {c: c + 32 for c in range(65, 91)}
+
+
+def frame(spark, texts, ids=None, source="s"):
+    """Documents with extra columns whose names clash with the operators' own."""
+    ids = list(range(len(texts))) if ids is None else ids
+    return spark.createDataFrame([(i, t, source, 1, "x", 2, 3, 4, 5) for i, t in zip(ids, texts, strict=True)], DOCS)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return [f"{r.choice('abcdefgh')}{r.choice('rstuv')}{r.randrange(40)}" for _ in range(n)]
+
+
+AWKWARD = [None, "", " \n ", "one", "One two", "one two three", "one two three", "x " * 3000, "é ü 漢字 <|endoftext|>", "a\tb\x1cc"]
+
+
+def test_components(spark):
+    edges = [(5, 3), (3, 9), (1, 9), (7, 8), (8, 7), (4, 4)] + [(100, i) for i in range(101, 160)] + [(i, i + 1) for i in range(200, 260)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()}
+    assert got == {**dict.fromkeys((1, 3, 5, 9), 1), 7: 7, 8: 7, **dict.fromkeys(range(100, 160), 100), **dict.fromkeys(range(200, 261), 200)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def near_copies():
+    r, out = random.Random(7), []
+    for g in range(4):
+        base = prose(g, (30, 60, 200, 45)[g])
+        for _ in range(9):
+            copy = list(base)
+            for _ in range(r.choice((0, 1, 1, 2, 4))):
+                copy[r.randrange(len(copy))] = f"new{r.randrange(10**6)}"
+            out.append(" ".join(copy))
+    shared = prose(99, 60)
+    out += [" ".join(shared + prose(1000 + i, 10 + i % 3)) for i in range(12)]  # a passage that many share, and little else
+    return out + [out[0], out[5]]
+
+
+def jaccard_groups(texts, ids):
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+    low = {i: i for i in ids}
+    find = lambda i: i if low[i] == i else find(low[i])
+    for a in range(len(ids)):
+        for b in range(a):
+            same = len(sets[a] & sets[b])
+            if same and 100 * same >= 90 * len(sets[a] | sets[b]):
+                x, y = find(ids[a]), find(ids[b])
+                low[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in zip(ids, sets, strict=True)}
+
+
+def test_ngram_join(spark):
+    texts = AWKWARD + near_copies()
+    ids = random.Random(1).sample(range(1000), len(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_groups(frame(spark, texts, ids)).collect()}
+    assert got == jaccard_groups(texts, ids)
+    assert ngram_join.ngram_groups(frame(spark, ["a"]).limit(0)).count() == 0
+    kept = ngram_join.keep_one_of_each_group(frame(spark, texts, ids))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in got.items() if i == c) and len(kept.columns) == 9
+
+
+def test_ngram_join_with_repeated_and_null_ids(spark):
+    got = ngram_join.ngram_groups(frame(spark, ["a b c d", "a b c d", None, "z"], [3, None, None, 3])).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == [("3", 1, "3"), ("3", 2, "3"), ("None", 0, "None"), ("None", 2, "3")]
+
+
+def test_residual_blocks_find_links_between_stars(spark):
+    """A chain whose ends are far apart: links that no star has are found among the rest of a tile."""
+    base = prose(3, 120)
+    texts = []
+    for i in range(12):
+        copy = list(base)
+        for j in range(0, 3 * i, 3):
+            copy[j] = f"edit{j}"
+        texts.append(" ".join(copy))
+    random.Random(5).shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_groups(frame(spark, texts)).collect()}
+    assert got == jaccard_groups(texts, list(range(12)))
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = AWKWARD + ["word  two\n\nthree \n x", "tail ", "\n"] + [" ".join(prose(i, 900)) for i in range(6)]
+    rows = packing.pack_documents(frame(spark, texts), tokenizer_path(), with_ids=True).collect()
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert [x for r in own for x in r.ids] == ids.tolist() and {r.doc_tokens for r in own} == {len(ids)}
+        for r in own:
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and r.length == len(r.ids)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for own in by.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+        total = sum(n for _, n in own)
+        assert total <= 2048 and total & (total - 1) == 0  # no padding
+    assert packing.pack_documents(frame(spark, ["a"]).limit(0), tokenizer_path()).count() == 0
+
+
+def test_encoder_cuts_leave_the_ids_as_they_are():
+    from tokenizers import Tokenizer
+
+    t, e, r = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path()), random.Random(2)
+    parts = ["a", "b's", " ", "  ", "\n", "\n\n", "\t", "é", "1", "!!", "　", "\xa0", "\x1c", "漢", "word", " word", "<|endoftext|>"]
+    for _ in range(3000):
+        x = "".join(r.choice(parts) for _ in range(r.randint(0, 9)))
+        assert e(x) == np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_chat(spark):
+    traps = ["</s>[INST] ok [/INST]", "<\\/s>", "[\\\\TURN]", None, "", "<s", "a\n<|im_end|>é", "[TEXT][END]"]
+    rows = [(1, i, ("user", "assistant", None)[i % 3], t) for i, t in enumerate(traps)] + [(2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (2, None, "system", "s"), (None, 1, "assistant", "n"), (3, 0, "<s>", "x")]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, ids int")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(df, tokenizer_path()), tokenizer_path()).collect()}
+    for conv in (1, 2, 3, None):
+        own = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
+        said = "".join(t for _, _, role, t in own if role == "assistant")
+        r = got[conv]
+        assert r.n_turns == len(own) and r.loss_chars == len(said) and r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, _, role, t in own).encode()).hexdigest()
+    for t in traps:
+        assert chat.unescape(chat.escape(t or "")) == (t or "") and not any(c in chat.escape(t or "") for c in chat.CONTROLS)
+    assert chat.read_back(chat.format_turns(df.limit(0), tokenizer_path()), tokenizer_path()).count() == 0
+
+
+def test_decontamination(spark):
+    item, short = prose(1, 20), prose(2, 4)
+    texts = AWKWARD + [" ".join(prose(3, 50) + item[2:18] + prose(4, 30)), " ".join(item[:12]), " ".join(short).upper() + ".", " ".join(prose(5, 900) + short)]
+    items = spark.createDataFrame([(7, " ".join(item)), (10, "! ".join(short)), (9, None), (None, "..."), (10, " ".join(short))], "item_id long, text string")
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+
+    def expected(t):
+        w, hit, found = word(t), set(), set()
+        for i, text in ((7, " ".join(item)), (10, " ".join(short))):
+            iw = word(text)
+            k = min(13, len(iw))
+            for a in range(len(iw) - k + 1):
+                for b in range(len(w) - k + 1):
+                    if w[b : b + k] == iw[a : a + k]:
+                        hit |= set(range(b, b + k))
+                        found.add(str(i))
+        return len(w), len(hit), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
+
+    for limit in (decontaminate.BLOCK_BYTES, 60):  # in one block, and in several
+        before, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, limit
+        try:
+            got = {r.row.doc_id: (r.n_words, r.n_hit, r.items_sha256 if r.n_items < 2 else None, r.contaminated) for r in decontaminate.contamination(frame(spark, texts), items.where("item_id is null or text is null or true").dropDuplicates(["item_id"])).collect()}
+        finally:
+            decontaminate.BLOCK_BYTES = before
+        assert got == {i: expected(t) for i, t in enumerate(texts)}
+    assert decontaminate.contamination(frame(spark, texts), items.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.contamination(frame(spark, texts).limit(0), items).count() == 0
+
+
+def test_line_dedup(spark):
+    long = " ".join(prose(1, 30))
+    near = " ".join([*prose(1, 30)[:-1], "other"])
+    texts = [f"{long}\nshort", f"x\n{near}\nkept {' '.join(prose(2, 20))}", long.upper().replace(" ", "  "), None, "", "short\nshort", f"{long}\n{long}"]
+    got = {r.doc_id: (r.text, r._gone) for r in line_dedup.dedup_lines(frame(spark, texts, [5, 6, 7, 8, 9, 10, 11])).collect()}
+    assert got[5] == (texts[0], []) and got[6] == (f"x\nkept {' '.join(prose(2, 20))}", [1]) and got[7] == ("", [0])
+    assert got[8] == (None, []) and got[9] == ("", []) and got[10] == ("short\nshort", []) and got[11] == ("", [0, 1])
+    assert line_dedup.dedup_lines(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_line_dedup_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    squeeze = lambda x: re.sub(r"[\x20\x09-\x0D]", "", x.translate(LOW))
+    found, where = {}, []
+    for i, t in docs.orderBy("doc_id").collect():
+        for k, line in enumerate(t.split("\n")):
+            q = squeeze(line)
+            if len(q) >= line_dedup.MIN_CHARS:
+                where.append((i, k, q))
+                found.setdefault(q, {q[j : j + 8] for j in range(len(q) - 7)})
+    names = list(found)
+    low = {q: q for q in names}
+    find = lambda q: q if low[q] == q else find(low[q])
+    holders = collections.defaultdict(list)
+    for q in names:
+        for other, n in collections.Counter(o for s in found[q] for o in holders[s]).items():
+            if 10 * n >= 8 * len(found[q] | found[other]) and find(q) != find(other):
+                low[find(q)] = find(other)
+        for s in found[q]:
+            holders[s].append(q)
+    first, gone = {}, collections.defaultdict(list)
+    for i, k, q in where:
+        if first.setdefault(find(q), (i, k)) != (i, k):
+            gone[i].append(k)
+    got = {r.id: r.gone for r in line_dedup.removals(docs).collect()}
+    right = sum(len(set(gone[i]) & set(got.get(i, []))) for i in gone)
+    assert right >= 0.98 * sum(map(len, gone.values())) and sum(map(len, got.values())) == right
+
+
+def test_language_model(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(frame(spark, AWKWARD, [5000 + i for i in range(len(AWKWARD) - 1)] + [None]).select("doc_id", "text"))
+    tokens = [(i, [*words(t), None]) for i, t in docs.collect()]
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 1
+    count = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
+    n, v = sum(count.values()), len(count)
+    by = {i: ws for i, ws in tokens}
+    rows = lm.lm_scores(docs.withColumn("score", F.lit(1))).collect()
+    assert len(rows) == len(tokens)
+    for r in rows:
+        ws = by[r.doc_id]
+        base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+        assert r.held_out == held(r.doc_id) and r.n_tokens == len(ws) and r.n_known == sum(count[w] > 0 for w in ws) and r.train_tokens == n
+        assert r.base_score == pytest.approx(base) and r.score < 0
+    out = [r for r in rows if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    assert lm.lm_scores(docs.limit(0)).count() == 0
+
+
+def test_interpolation_is_a_distribution():
+    weights = lm.learn_weights(np.array([0, 0, 3]), np.array([0.5, 0.0, 0.0]), np.array([0.1, 0.1, 0.0]), np.array([9.0, 1.0, 4.0]), 10)
+    assert np.allclose(weights.sum(axis=1), 1) and weights[0, 0] > 0.5 and weights[3, 2] > 0.9
+
+
+def test_language_model_with_rare_words(spark, sf, monkeypatch):
+    """The join for rare words gives what the broadcast of all words gives."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
+    every = {r.doc_id: (r.n_known, r.base_score) for r in lm.lm_scores(docs).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", 1e-3)
+    for r in lm.lm_scores(docs).collect():
+        assert r.n_known == every[r.doc_id][0] and r.base_score == pytest.approx(every[r.doc_id][1])
+
+
+def test_quality(spark):
+    line = "this very line is printed by every document of the host again"
+    texts = AWKWARD + [f"{line}\n{' '.join(prose(i, 60))}" for i in range(30)] + [f"{line}\n{line.upper()}\n{' '.join(prose(500 + i, 4))}" for i in range(20)]
+    rows = {r.doc_id: r for r in quality.quality(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        c = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        repeat = {p for k in range(len(w) - 4) if c[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = rows[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(repeat))
+        assert r.base_failed == (len(w) < 10 or 100 * len(repeat) > 20 * len(w)) and not (r.base_failed and r.kept)
+    assert all(rows[i].kept for i in range(len(AWKWARD), len(AWKWARD) + 30)) and not any(rows[i].kept for i in range(len(AWKWARD) + 30, len(texts)))
+    assert quality.quality(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    pages = [(1, "http://a/x y", "<p>é</p>"), (5, None, "<p>é</p>"), (2, "http://b", None), (9, "http://b\r\nX: y", ""), (7, "u", "a\r\n\r\nb"), (7, "u", "a\r\n\r\nb"), (None, "n", "z")]
+    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, digest int")
+    got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in warc.archived(df).collect())
+    last = {}
+    for i, _, h in pages:
+        last[h or ""] = max(last.get(h or "", -1), -1 if i is None else i)
+    digest = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    expected = sorted((str(i), len((h or "").encode()), digest(h or ""), "response" if i in (None, last[h or ""]) else "revisit", "None" if i in (None, last[h or ""]) else str(last[h or ""])) for i, _, h in pages)
+    assert got == expected
+    path = f"file://{tmp_path}/w"
+    warc.write_pages(df, path)
+    load = lambda: spark.read.format("warc").load(path)
+    assert sorted(bytes(r.payload) for r in load().where("record_type = 'response'").collect()) == sorted(["<p>é</p>".encode(), b"", b"a\r\n\r\nb", b"a\r\n\r\nb", b"z"])
+    assert load().where("record_type = 'revisit'").count() == 2 and load().where("target_uri like 'http://b%'").count() == 2
+    assert load().where("record_id = '<urn:page:5>'").first().payload == "<p>é</p>".encode()
+    assert warc.archived(df.limit(0)).count() == 0
+
+
+def test_foreign_archives(spark, tmp_path):
+    import gzip
+
+    records = [warc.record(f"<urn:page:{i}>", ("response", "metadata")[i % 2], f"http://x/{i}", None, None, b"p%d\r\n\r\n" % i + b"x" * 300_000 * (i == 4)) for i in range(8)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(map(warc.gzip_member, records)))
+    for name in ("a.warc", "b.warc.gz", "c.warc.gz"):
+        rows = spark.read.format("warc").load(f"file://{tmp_path}/{name}").where("record_type = 'response'").collect()
+        assert [(r.record_id, bytes(r.payload)[:6]) for r in rows] == [(f"<urn:page:{i}>", b"p%d\r\n\r\n" % i) for i in (0, 2, 4, 6)]
+        none = spark.read.format("warc").option("payload", "none").load(f"file://{tmp_path}/{name}")
+        assert none.where("payload is null").count() == 8
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>no</article>";</script></head><body><header><h2>Site</h2></header><nav><ul><li>Menu</ul></nav>
+<div class="cookie-notice">We use cookies<div>ok</div></div><article><header><h1>Head &amp; line</h1></header><p><b>One</b> tw<i>o</i>.<br>Next&nbsp;x<p>Three<aside>Side</aside><div class='ad'>Buy</div><form>Name<input></form><!-- c --><ul><li>L1<li>L2</ul>
+<section id="comments"><p>Nice!</p></section></article><footer>&copy;</footer></body></html>"""
+
+
+def test_html_structure():
+    assert html_extract.main_texts([html_extract.blocks(PAGE)]) == ["Head & line One two. Next\xa0x Three L1 L2"]
+    assert html_extract.blocks("") == [] and html_extract.main_texts([[]]) == [""]
+    assert html_extract.main_texts([html_extract.blocks("<p>a < b<p>c <x")]) == ["a < b c <x"]
+
+
+def test_html_suffix_array(spark):
+    common = "home news sport weather travel culture about us contact imprint"
+    pages = [(i, f"http://h/{i}", f"<body><div>{common}</div><p>{' '.join(prose(i, 20))} end {i}</p><div>all rights of this and any other page are reserved for ever</div></body>") for i in range(12)]
+    pages += [(90, None, None), (91, "http://other/", f"<p>{common}</p>"), (92, "http://h/92", "")]
+    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, text int")
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in html_extract.main_text(df).collect()}
+    for i in range(12):
+        text = f"{' '.join(prose(i, 20))} end {i}"
+        assert got[i] == (f"http://h/{i}", text, len(text))
+    assert got[90] == (None, "", 0) and got[91][1] == common and got[92][1] == ""
+    assert html_extract.main_text(df.limit(0)).count() == 0
+
+
+def test_runs_of_the_suffix_array_equal_brute_force():
+    r = random.Random(4)
+    pages = [[r.choice("ab") for _ in range(r.randint(0, 40))] for _ in range(9)]
+    flat = np.array([ord(x) for p in pages for x in p], dtype=np.uint64)
+    first = np.concatenate(([0], np.cumsum([len(p) for p in pages])))
+    run, least = html_extract.RUN, html_extract.PAGES
+    holders = collections.defaultdict(set)
+    for i, p in enumerate(pages):
+        for k in range(len(p) - run + 1):
+            holders[tuple(p[k : k + run])].add(i)
+    expected = [any(0 <= s and s + run <= len(p) and len(holders[tuple(p[s : s + run])]) >= least for s in range(k - run + 1, k + 1)) for p in pages for k in range(len(p))]
+    assert html_extract.covered(flat, first).tolist() == expected
+
+
+def test_toxicity_grammar():
+    g = toxicity.Grammar()
+    kinds = lambda t: dict(zip(toxicity.FEATURES, g.features(toxicity.Texts(pa.array([t])))[0] > 0, strict=True))
+    assert kinds("You are an idiot.")["aimed"] and not kinds("You are here. An idiot")["aimed"]
+    assert kinds("This is not a stupid idea")["negated"] and kinds("She said he is a moron")["reported"]
+    assert kinds("I will kill you")["intended"] and kinds("I will kill you")["threat"]
+    assert not kinds("A fine day")["matched"] and not kinds(None)["matched"] and kinds("What a clown")["plain"]
+
+
+def test_toxicity(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    odd = frame(spark, AWKWARD)
+    rows = toxicity.scored(odd, toxicity.fit(docs, labels)).collect()
+    assert len(rows) == len(AWKWARD) and all(0 <= r.score < toxicity.THRESHOLD for r in rows)
+    assert toxicity.scored(odd.limit(0), toxicity.Grammar()).count() == 0
+    assert toxicity.fit(docs, labels.limit(0)).stems == toxicity.Grammar().stems
+    bad = frame(spark, ["you stupid pathetic loser", None, "a quiet day"])
+    scores = [r.score for r in toxicity.scored(bad, toxicity.fit(docs, labels)).orderBy("row.doc_id").collect()]
+    assert scores[0] > toxicity.THRESHOLD > scores[2]
+
+
+def test_toxicity_held_out(spark):
+    """On labels that were held out, at the size where enough examples are there to learn from."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = labels.where(toxicity.held_out("doc_id"))
+    got = toxicity.scored(docs.join(held, "doc_id"), toxicity.fit(docs, labels)).select("row.toxic", "score").collect()
+    hits = [r.toxic for r in got if r.score >= toxicity.THRESHOLD]
+    assert sum(hits) >= 0.95 * len(hits) and sum(hits) >= 0.75 * sum(r.toxic for r in got)

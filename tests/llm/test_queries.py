@@ -1,0 +1,54 @@
+import glob
+import os
+
+import duckdb
+import pytest
+
+from metaframe.llm.queries import QUERIES, SQL
+
+
+@pytest.fixture(scope="module")
+def con(sf):
+    c = duckdb.connect()
+    for p in glob.glob(f"{sf}/*.parquet"):
+        c.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    return c
+
+
+@pytest.mark.parametrize("name", SQL)
+def test_query_equals_sql(spark, con, sf, name):
+    df = QUERIES[name](spark, sf)
+    cursor = con.execute(SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == sorted(df.columns)
+    place = [names.index(c) for c in df.columns]
+    assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(str(tuple(r[i] for i in place)) for r in cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_query_runs(spark, sf, name):
+    assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_pipeline_equals_its_stages_one_by_one(spark, sf):
+    """run() against the stages' operators, joined by plain filters on collected results."""
+    import corpus_pipeline
+    from metaframe.llm import decontaminate, line_dedup, ngram_join, toxicity
+    from metaframe.llm.packing import pack_documents
+    from metaframe.llm.stages import tokenizer_path
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    grammar = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = {r.row.doc_id: r.row.asDict() for r in toxicity.scored(docs, grammar).collect() if r.score < toxicity.THRESHOLD}
+    frame = lambda: spark.createDataFrame([tuple(r.values()) for r in rows.values()], docs.schema)
+    gone = {r.id: set(r.gone) for r in line_dedup.removals(frame()).collect()}
+    for i, lines in gone.items():
+        rows[i]["text"] = "\n".join(x for k, x in enumerate(rows[i]["text"].split("\n")) if k not in lines)
+    rows = {i: r for i, r in rows.items() if i not in gone or r["text"]}
+    groups = {r.doc_id: r.component_id for r in ngram_join.ngram_groups(frame()).collect()}
+    rows = {i: r for i, r in rows.items() if groups[i] == i}
+    bad = {r.row.doc_id for r in decontaminate.contamination(frame(), spark.read.parquet(f"{sf}/benchmark.parquet")).collect() if r.contaminated}
+    rows = {i: r for i, r in rows.items() if i not in bad}
+    pick = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    expected = sorted(tuple(r) for r in pack_documents(frame(), tokenizer_path()).select(*pick).collect())
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).select(*pick).collect()) == expected
