@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from metaframe.functions import text as T
 from metaframe.functions.checks import coerced, value_message
-from metaframe.operators import extraction, ids, mapping, records, relations
+from metaframe.operators import extraction, ids, mapping, projects, records, relations
 from metaframe.plans.compiler import coerce_values, flatten, typed, unknown_fields, validate_records
 from metaframe.schema import CORPUS_TYPES, Field, Schema, default_schema
 
@@ -446,6 +446,21 @@ def flatten_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(document_records(spark, sf_dir)).where("field in ('language', 'mood')").drop("record_type")
 
 
+@query(
+    """WITH had AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0)
+    SELECT 'cust_x' || k AS record_id, k AS ord FROM had UNION ALL SELECT 'cust_x' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '_2' ELSE '' END, c_custkey + 1 + (SELECT max(k) FROM had) FROM customer"""
+)
+def append_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select(F.concat(F.lit("cust_x"), _text("c_custkey")).alias("record_id"), F.col("c_custkey").alias("ord"))
+    return projects.append_import(rows.where("ord % 2 = 0"), rows, derive=False)
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'pasted' END AS source FROM pages")
+def preferred_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("page_id") % 3
+    return _table(spark, sf_dir, "pages").select("page_id", projects.preferred_source(F.when(at == 0, F.col("url")).otherwise(" "), F.lit(None).cast("string"), F.when(at < 2, "pasted")).alias("source"))
+
+
 @query()
 def prompt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = document_records(spark, sf_dir)
