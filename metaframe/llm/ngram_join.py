@@ -87,6 +87,12 @@ def parity_bits(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
+def fingerprints(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    total = np.concatenate(([U64(0)], np.cumsum(mix(values ^ U64(77)), dtype=U64)))
+    return mix(total[bounds[1:]] - total[bounds[:-1]] + mix(np.diff(bounds).astype(U64))).view(np.int64)
+
+
 def _described(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(stream, 4 << 20):
         words = Texts(batch.column(1)).words()
@@ -95,19 +101,17 @@ def _described(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [tile_keys(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         flat = np.concatenate(keys) if keys else np.zeros(0, U64)
         n = np.diff(bounds)
-        total = np.concatenate(([U64(0)], np.cumsum(mix(values ^ U64(77)), dtype=U64)))
-        fp = mix(total[bounds[1:]] - total[bounds[:-1]] + mix(n.astype(U64)))
         yield pa.record_batch(
-            [batch.column(0), pa.array(n.astype(np.int64)), pa.array(fp.view(np.int64), mask=n == 0), list_array(flat, np.concatenate(([0], np.cumsum([len(k) for k in keys])))), *(pa.array(bits[:, i]) for i in range(bits.shape[1]))],
+            [batch.column(0), pa.array(n.astype(np.int64)), pa.array(fingerprints(values, bounds), mask=n == 0), list_array(flat, np.concatenate(([0], np.cumsum([len(k) for k in keys])))), *(pa.array(bits[:, i]) for i in range(bits.shape[1]))],
             names=["id", "n", "fp", "keys", *_LONGS],
         )
 
 
 def _sets(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(stream, 4 << 20):
-        words = Texts(batch.column(1)).words()
+        words = Texts(batch.column(0)).words()
         values, bounds = unique_within(*shingles(words.hashes(), words.first, SHINGLE))
-        yield pa.record_batch([batch.column(0), list_array(values, bounds)], names=["fp", "members"])
+        yield pa.record_batch([pa.array(fingerprints(values, bounds)), list_array(values, bounds)], names=["fp", "members"])
 
 
 def _far(a: str, b: str) -> Column:
@@ -169,7 +173,9 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         "near",
     )
     asked = written(near.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(nodes, "fp").select("fp", "id"), "asked")
-    sets = written(docs.join(small(asked), "id").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(_sets, "fp long, members array<long>"), "sets")
+    ids = small(asked.select(F.col("id").alias("_id")).distinct())
+    texts = docs.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")  # an id may have other texts too, so fingerprints decide
+    sets = written(texts.mapInArrow(_sets, "fp long, members array<long>").join(small(asked.select("fp")), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
     left, right = sets.select(F.col("fp").alias("u"), F.col("members").alias("left")), sets.select(F.col("fp").alias("v"), F.col("members").alias("right"))
     return near.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(_verified, "u long, v long")
 

@@ -89,6 +89,15 @@ def test_ngram_join_with_repeated_and_null_ids(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == [("3", 1, "3"), ("3", 2, "3"), ("None", 0, "None"), ("None", 2, "3")]
 
 
+def test_ngram_join_of_ids_with_several_texts(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    texts = [" ".join(x) for x in (a, b, [*a[:-1], "new"], [*b[:-1], "new"], prose(3, 9), [*prose(4, 80)], [*prose(4, 80)[:-1], "new"])]
+    got = ngram_join.ngram_groups(frame(spark, texts, [1, 1, 8, 9, 1, None, None])).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("1", "1")] * 3 + [("8", "1"), ("9", "1")] + [("None", "None")] * 2
+    nodes = ngram_join.ngram_groups(frame(spark, texts[5:], [4, None])).collect()
+    assert {r.component_id for r in nodes} == {4}
+
+
 def test_residual_blocks_find_links_between_stars(spark):
     """A chain whose ends are far apart: links that no star has are found among the rest of a tile."""
     base = prose(3, 120)
