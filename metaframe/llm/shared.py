@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[str] = []
 #: Most rows of 8-byte ids that are broadcast (32 MB); beyond it joins shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -28,7 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this process has written to the shared folder; frames that read it are of no use afterwards."""
+    jvm = spark._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -2,6 +2,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -37,6 +38,18 @@ def prose(seed, n):
 AWKWARD = [None, "", " \n ", "one", "One two", "one two three", "one two three", "x " * 3000, "é ü 漢字 <|endoftext|>", "a\tb\x1cc"]
 
 
+def test_written_tables_can_be_cleared(spark):
+    from metaframe.llm import shared
+
+    made = shared.written(spark.range(3), "test")
+    assert made.count() == 3 and shared.fresh_path(spark, "x").startswith(shared.shared_dir(spark))
+    place = made.inputFiles()[0].removeprefix("file://")
+    kept, shared._made[:] = shared._made[:-2], shared._made[-2:]
+    shared.clear(spark)
+    shared._made[:] = kept
+    assert not os.path.exists(place)
+
+
 def test_components(spark):
     edges = [(5, 3), (3, 9), (1, 9), (7, 8), (8, 7), (4, 4)] + [(100, i) for i in range(101, 160)] + [(i, i + 1) for i in range(200, 260)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()}
