@@ -140,7 +140,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return rolled[keep], bounds
 
 
-def batches(stream: Iterable[pa.RecordBatch], limit: int = 1 << 24, column: str = "text") -> Iterator[pa.RecordBatch]:
+def batches(stream: Iterable[pa.RecordBatch], limit: int = 1 << 21, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of one have about `limit` bytes at most; one longer text is a batch of its own."""
     for batch in stream:
         if not batch.num_rows:

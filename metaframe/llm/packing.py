@@ -27,7 +27,7 @@ from metaframe.llm.kernels import batches
 CAPACITY = 2048
 END_ID = 1
 #: Most words whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 120_000
 _COLUMNS = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 # A text is cut at its single spaces and line feeds alone unless other white space or the special token occurs in it.
@@ -132,7 +132,7 @@ def _packer(path: str, with_ids: bool, schema: pa.Schema) -> Callable[[Iterator[
             columns = list(zip(*out, strict=True)) if out else [[] for _ in schema]
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        for batch in batches(stream, 4 << 20):
+        for batch in batches(stream):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = (encode(text) if text else b"") + END_ID.to_bytes(4, "little")
                 n = len(ids) // 4

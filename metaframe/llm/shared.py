@@ -13,7 +13,14 @@ _made: list[str] = []
 BROADCAST_IDS = 4_000_000
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of some megabytes, whatever the length of the rows, so that Python workers stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4194304")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

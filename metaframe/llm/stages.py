@@ -9,7 +9,7 @@ from metaframe.llm.decontaminate import contamination
 from metaframe.llm.line_dedup import dedup_lines
 from metaframe.llm.ngram_join import keep_one_of_each_group
 from metaframe.llm.packing import pack_documents
-from metaframe.llm.shared import table
+from metaframe.llm.shared import bounded, table
 from metaframe.llm.toxicity import THRESHOLD, fit, scored
 
 
@@ -26,12 +26,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with one line of each group of near copies, n_chars as it then is. A document that loses all its lines goes."""
+    bounded(spark)
     deduped = dedup_lines(docs).where((F.size("_gone") == 0) | (F.length("text") > 0))
     return deduped.select(*[F.when(F.size("_gone") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group that the n-gram join links."""
+    bounded(spark)
     return keep_one_of_each_group(docs).select(docs.columns)
 
 
@@ -42,4 +44,5 @@ def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents' token ids, in sequences of at most 2048."""
+    bounded(spark)
     return pack_documents(docs, tokenizer_path())

@@ -25,7 +25,7 @@ from metaframe.llm.kernels import NOT_ALNUM, Texts, Words, batches, byte_class,
 from metaframe.llm.kernels import _BYTE_VALUES as BYTE_VALUES
 
 #: Most labelled rows of each class that fitting reads, chosen by the hash of their ids.
-SAMPLE = 3000
+SAMPLE = 2000
 THRESHOLD = 0.3
 #: Words of a clause that are read on either side of a match.
 REACH = 12
@@ -296,7 +296,7 @@ def scored(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFra
     """
 
     def score(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, 8 << 20):
+        for batch in batches(stream):
             yield pa.record_batch([batch.column(0), pa.array(grammar.scores(Texts(batch.column(1))))], names=["row", "score"])
 
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
