@@ -7,6 +7,7 @@ the same in every process.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -60,7 +61,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each span values[start:end]; values are 64-bit. Work goes in blocks, so memory stays bounded."""
     out = np.empty(len(starts), dtype=U64)
-    block, i = 1 << 20, 0
+    block, i = 1 << 18, 0
     while i < len(starts):
         lo = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, lo + block, side="right")))
@@ -140,6 +141,15 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return rolled[keep], bounds
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system: a worker that waits for its next task should be small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def batches(stream: Iterable[pa.RecordBatch], limit: int = 1 << 21, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of one have about `limit` bytes at most; one longer text is a batch of its own."""
     for batch in stream:
@@ -153,6 +163,7 @@ def batches(stream: Iterable[pa.RecordBatch], limit: int = 1 << 21, column: str
             to = max(at + 1, int(np.searchsorted(sizes, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def int64(a: np.ndarray) -> pa.Array:

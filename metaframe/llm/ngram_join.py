@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaframe.llm.components import components
-from metaframe.llm.kernels import U64, Texts, batches, int64, list_array, mix, shingles, unique_within
+from metaframe.llm.kernels import U64, Texts, batches, int64, list_array, mix, shingles, trim, unique_within
 from metaframe.llm.shared import small, written
 
 SHINGLE = 3
@@ -129,7 +129,8 @@ def _verified(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = lv[lo[i] : lo[i + 1]].view(U64), rv[ro[i] : ro[i + 1]].view(U64)
             same = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(100 * same >= 90 * (len(a) + len(b) - same))
-        yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["u", "v"])
+        yield pa.record_batch([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["u", "v"])
+    trim()
 
 
 def _block_pairs(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +162,7 @@ def _block_pairs(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = rest.slice(last).combine_chunks()
     if rest is not None and rest.num_rows:
         yield of(rest)
+    trim()
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
