@@ -7,11 +7,11 @@ are learned by expectation-maximisation on counts held out of training: of the t
 four gives the held-out events, the others the counts that predict them. Scores then use the counts of all
 training documents.
 
-Counts of all words and pairs are made over all training documents, in a few vectorised scans that pre-aggregate before
-any shuffle. Words above a relative frequency (FREQUENT; there can be at most 1 / FREQUENT) and pairs above
-PAIRS are broadcast, which is a bound that no input exceeds; a pair below it has no estimate of its own and
-is left to the other terms. The counts of all other words, however many, come by a join: the scan leaves each document's rare
-words and the buckets before them.
+Counts of all words and of all pairs are made over all training documents, in scans that pre-aggregate before
+any shuffle, and every pair that was seen has its estimate. Words above a relative frequency (FREQUENT; there
+can be at most 1 / FREQUENT) and pairs above PAIRS are broadcast, as a fast path that no input makes larger.
+The counts of all other pairs and words, however many, come by joins: the scan leaves each document's tokens
+that wait for a count, with what is known of them.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from metaframe.llm.kernels import U64, Texts, batches, mix
 from metaframe.llm.shared import written
 
-#: Relative frequencies: of words that are broadcast (2.5 million at most), of words that pairs are made of, and of pairs (1 million at most).
-FREQUENT, PAIRED, PAIRS = 4e-7, 2e-5, 1e-6
+#: Relative frequencies of words that are broadcast (2.5 million at most), and of pairs (1 million at most); all others are joined.
+FREQUENT, PAIRS = 4e-7, 1e-6
 #: Tokens that a scan aggregates at once.
 BLOCK = 1_500_000
 BUCKETS = 24
@@ -62,30 +62,33 @@ class Tokens:
         self.doc = np.repeat(np.arange(docs), counts + 1)
 
 
-def _counted(keys: list[np.ndarray], held: list[np.ndarray], name: str) -> pa.RecordBatch:
-    found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+def _counted(keys: list[np.ndarray], held: list[np.ndarray], names: list[str], before: list[np.ndarray]) -> pa.RecordBatch:
+    found, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     flag = np.concatenate(held)
     n = np.bincount(inverse, minlength=len(found))
     h = np.bincount(inverse[flag], minlength=len(found))
-    return pa.record_batch([pa.array(found.view(np.int64)), pa.array(n - h), pa.array(h)], names=[name, "train", "held"])
+    rest = [pa.array((x := np.concatenate(before)[first]).view(np.int64), mask=x == START)] if before else []
+    return pa.record_batch([pa.array(found.view(np.int64)), pa.array(n - h), pa.array(h), *rest], names=names)
 
 
-def _counter(pick: Callable[[Tokens], tuple[np.ndarray, np.ndarray]], name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of keys in blocks of tokens. pick: the keys of a batch, and the token that each stands at."""
+def _counter(pick: Callable[[Tokens], tuple[np.ndarray, ...]], *names: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of keys in blocks of tokens. pick: each token's key and, if there is another name, what goes with the key (START: null)."""
+    names = [names[0], "train", "held", *names[1:]]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held, size = [], [], 0
+        keys, held, before, size = [], [], [], 0
         for batch in batches(stream):
             tokens = Tokens(batch.column(0))
-            own, at = pick(tokens)
+            own, *rest = pick(tokens)
             keys.append(own)
-            held.append((batch.column(1).to_numpy() == HELD)[tokens.doc[at]])
+            before += rest
+            held.append((batch.column(1).to_numpy() == HELD)[tokens.doc])
             size += len(own)
             if size >= BLOCK:
-                yield _counted(keys, held, name)
-                keys, held, size = [], [], 0
+                yield _counted(keys, held, names, before)
+                keys, held, before, size = [], [], [], 0
         if size:
-            yield _counted(keys, held, name)
+            yield _counted(keys, held, names, before)
 
     return run
 
@@ -132,37 +135,61 @@ class Model:
     types: int
     weights: np.ndarray
 
-    def estimates(self, t: Tokens, all_of: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Bucket of the context, the pair's and the word's estimates, and whether the word is rare: then the word's is still to come."""
+    def estimates(self, t: Tokens, all_of: bool) -> Estimates:
         n = max(self.tokens[0 if all_of else 1], 1)
-        word, before = self.words.find(t.hashes), self.words.find(t.before)
-        c_before = np.where(t.before == START, self.docs[0 if all_of else 1], self.words.counts(before, all_of))
-        total = np.where(t.before == START, self.docs[0], self.words.counts(before, True))
+        word, before, start = self.words.find(t.hashes), self.words.find(t.before), t.before == START
+        c_before = np.where(start, self.docs[0 if all_of else 1], self.words.counts(before, all_of))
+        total = np.where(start, self.docs[0], self.words.counts(before, True))
         with np.errstate(divide="ignore"):
             bucket = np.where(total > 0, 2 + np.floor(np.log2(np.maximum(total, 1) / (FREQUENT * max(self.tokens[0], 1)))), 0)
-        bucket = np.where(t.before == START, 1, np.clip(bucket, 0, BUCKETS - 1)).astype(np.int64)
-        both = np.flatnonzero((word >= 0) & ((before >= 0) | (t.before == START)))
-        p2 = np.zeros(len(t.hashes))
-        p2[both] = self.pairs.counts(self.pairs.find(pair_keys(t.before[both], t.hashes[both])), all_of) / np.maximum(c_before[both], 1)
-        return bucket, p2, self.words.counts(word, all_of) / n, word < 0
+        bucket = np.where(start, 1, np.clip(bucket, 0, BUCKETS - 1)).astype(np.int64)
+        keys = pair_keys(t.before, t.hashes)
+        pair = self.pairs.find(keys)
+        p2 = self.pairs.counts(pair, all_of) / np.maximum(c_before, 1)
+        return Estimates(keys, bucket, p2, self.words.counts(word, all_of), n, np.where(start | (before >= 0), c_before, -1), pair < 0, word < 0)
+
+
+@dataclass
+class Estimates:
+    """Of each token: its pair's key, the bucket of its context, the pair's estimate, the word's count out of n, and its context's count, -1 if that is rare.
+
+    open: the pair is not among the frequent ones, so its count is still to come; rare: the word's is, too. A
+    frequent pair has a frequent word and a frequent context.
+    """
+
+    pair: np.ndarray
+    bucket: np.ndarray
+    p2: np.ndarray
+    count: np.ndarray
+    n: int
+    before: np.ndarray
+    open: np.ndarray
+    rare: np.ndarray
+
+
+_EVENTS = "bucket long, o2 long, o1 long, word long, pair long, before long, rare boolean, open boolean"
+
+
+def _octave(p: Column) -> Column:
+    return F.when(p > 0, F.round(4 * F.log2(p)).cast("long")).otherwise(F.lit(-1000).cast("long"))
 
 
 def _events(model: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Held-out events: of frequent words by bucket and the estimates in steps of a quarter octave; of rare ones by word and bucket."""
+    """Held-out events by bucket and the estimates in steps of a quarter octave; where these wait for counts, by pair, context's count and word."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         octave = lambda p: np.where(p > 0, np.round(4 * np.log2(np.maximum(p, 1e-30))), -1000).astype(np.int64)
         for batch in batches(stream):
             t = Tokens(batch.column(0))
-            bucket, p2, p1, rare = m.estimates(t, False)
-            key = np.stack([bucket, np.where(rare, 0, octave(p2)), np.where(rare, 0, octave(p1)), np.where(rare, t.hashes.view(np.int64), 0), rare], axis=1)
+            e = m.estimates(t, False)
+            key = np.stack([e.bucket, np.where(e.open, 0, octave(e.p2)), np.where(e.rare, 0, octave(e.count / e.n)), np.where(e.rare, t.hashes.view(np.int64), 0), np.where(e.open, e.pair.view(np.int64), 0), np.where(e.open, e.before, 0), e.rare, e.open], axis=1)
             order = np.lexsort(key.T)
             key = key[order]
             head = np.flatnonzero(np.concatenate(([len(key) > 0], (key[1:] != key[:-1]).any(axis=1))))
             n = np.diff(np.append(head, len(key)))
             key = key[head]
-            yield pa.record_batch([*(pa.array(key[:, i]) for i in range(4)), pa.array(key[:, 4] != 0), pa.array(n)], names=["bucket", "o2", "o1", "word", "rare", "n"])
+            yield pa.record_batch([*(pa.array(key[:, i]) for i in range(6)), pa.array(key[:, 6] != 0), pa.array(key[:, 7] != 0), pa.array(n)], names=["bucket", "o2", "o1", "word", "pair", "before", "rare", "open", "n"])
 
     return run
 
@@ -182,8 +209,12 @@ def learn_weights(bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray, n: np.ndar
     return weights
 
 
+#: Tokens that wait for counts: of the pair (-1 for the context's count: that, too), and of both the pair and the word.
+_OPEN, _RARE = "array<struct<pair:long,before:long,count:long,bucket:tinyint>>", "array<struct<pair:long,before:long,word:long,bucket:tinyint>>"
+
+
 def _scorer(model: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each document: sums over its frequent words, and its rare words with the buckets before them."""
+    """Of each document: sums over the tokens whose counts are there, and the others with what is known of them."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
@@ -191,18 +222,20 @@ def _scorer(model: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         for batch in batches(stream):
             t = Tokens(batch.column(2))
             docs = batch.num_rows
-            bucket, p2, p1, rare = m.estimates(t, True)
-            w = m.weights[bucket]
-            p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (m.types + 1)
-            c = p1 * max(m.tokens[0], 1)
-            base = np.log10((c + 0.5) / (m.tokens[0] + 0.5 * (m.types + 1)))
-            sums = lambda x: np.bincount(t.doc, weights=np.where(rare, 0, x), minlength=docs)  # noqa: E731, B023
-            at = np.flatnonzero(rare)
-            bounds = np.searchsorted(at, t.first).astype(np.int32)
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds), pa.array(x))  # noqa: E731, B023
+            e = m.estimates(t, True)
+            w = m.weights[e.bucket]
+            p = w[:, 0] * e.p2 + w[:, 1] * e.count / e.n + w[:, 2] / (m.types + 1)
+            base = np.log10((e.count + 0.5) / (m.tokens[0] + 0.5 * (m.types + 1)))
+            sums = lambda x, wait: np.bincount(t.doc, weights=np.where(wait, 0, x), minlength=docs)  # noqa: E731, B023
+
+            def lists(at: np.ndarray, name: str, third: np.ndarray, t: Tokens = t, e: Estimates = e) -> pa.Array:
+                parts = [pa.array(e.pair[at].view(np.int64)), pa.array(e.before[at]), pa.array(third[at]), pa.array(e.bucket[at].astype(np.int8))]
+                return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, t.first).astype(np.int32)), pa.StructArray.from_arrays(parts, ["pair", "before", name, "bucket"]))
+
             yield pa.record_batch(
-                [pa.array(row + np.arange(docs)), batch.column(0), batch.column(1), pa.array(np.diff(t.first)), pa.array(sums(1).astype(np.int64)), pa.array(sums(base)), pa.array(sums(np.log10(p))), lists(t.hashes[at].view(np.int64)), lists(bucket[at].astype(np.int8))],
-                names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "rare", "buckets"],
+                [pa.array(row + np.arange(docs)), batch.column(0), batch.column(1), pa.array(np.diff(t.first)), pa.array(sums(e.count > 0, e.rare).astype(np.int64)), pa.array(sums(base, e.rare)), pa.array(sums(np.log10(p), e.open)),
+                 lists(np.flatnonzero(e.open & ~e.rare), "count", e.count), lists(np.flatnonzero(e.rare), "word", t.hashes.view(np.int64))],
+                names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "open", "rare"],
             )
             row += docs
 
@@ -218,44 +251,56 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _part(id_col).alias("part"))
     training = docs.where(F.col("part") != TEST).select("text", "part")
-    counts = written(training.mapInArrow(_counter(lambda t: (t.hashes, np.arange(len(t.hashes))), "word"), "word long, train long, held long").groupBy("word").agg(F.sum("train").alias("train"), F.sum("held").alias("held")), "words")
+    counts = written(training.mapInArrow(_counter(lambda t: (t.hashes,), "word"), "word long, train long, held long").groupBy("word").agg(F.sum("train").alias("train"), F.sum("held").alias("held")), "words")
     size = counts.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("train"), F.coalesce(F.sum("held"), F.lit(0)).alias("held"), F.count("*").alias("types")).first()
     total = size.train + size.held
     often = lambda df, share: df.where((F.col("train") + F.col("held")) >= max(1.0, share * total))
     words = Frequent.of(often(counts, FREQUENT), "word")
     end = words.find(np.array([END]))
     n_docs = words.counts(end, True)[0], words.counts(end, False)[0]
-    paired = spark.sparkContext.broadcast(Frequent(*(x[(words.train + words.held) >= PAIRED * total] for x in (words.keys, words.train, words.held))))
+    frequent = spark.sparkContext.broadcast(words.keys)
 
     def pairs_of(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        known: Frequent = paired.value
-        at = np.flatnonzero((known.find(t.hashes) >= 0) & ((t.before == START) | (known.find(t.before) >= 0)))
-        return pair_keys(t.before[at], t.hashes[at]), at
+        """Each pair's key and its context, START for a frequent one, whose count every scan has."""
+        known = frequent.value
+        at = np.minimum(np.searchsorted(known, t.before), max(len(known) - 1, 0))
+        return pair_keys(t.before, t.hashes), np.where(known[at] == t.before, START, t.before)
 
-    pairs = training.mapInArrow(_counter(pairs_of, "pair"), "pair long, train long, held long").groupBy("pair").agg(F.sum("train").alias("train"), F.sum("held").alias("held"))
+    pairs = training.mapInArrow(_counter(pairs_of, "pair", "before"), "pair long, train long, held long, before long").groupBy("pair").agg(F.sum("train").alias("train"), F.sum("held").alias("held"), F.max("before").alias("before"))
+    pairs = written(pairs, "pairs")
     model = Model(words, Frequent.of(often(pairs, PAIRS), "pair"), (int(n_docs[0]), int(n_docs[1])), (int(total), int(size.train)), int(size.types), np.tile([0.3, 0.6, 0.1], (BUCKETS, 1)))
+    others = pairs.where((F.col("train") + F.col("held")) < max(1.0, PAIRS * total)).select("pair", "before", F.col("train").alias("c_train"), (F.col("train") + F.col("held")).alias("c_all"))
+    contexts = counts.select(F.col("word").alias("before"), F.col("train").alias("h_train"), (F.col("train") + F.col("held")).alias("h_all"))
+    unknown = F.lit(None).cast("long")
+    others = others.where("before is null").drop("before").withColumns({"h_train": unknown, "h_all": unknown}).unionByName(others.where("before is not null").join(contexts, "before").drop("before"))
+    others = written(others, "others")
+
+    def estimate(waiting: DataFrame, which: str) -> DataFrame:
+        """waiting with p2 of its pairs; a pair that was not seen has 0."""
+        context = F.when(F.col("before") < 0, F.col(f"h_{which}")).otherwise(F.col("before"))
+        known = waiting.join(others.select("pair", f"c_{which}", f"h_{which}"), "pair", "left")
+        return known.withColumn("p2", F.when(F.col(f"c_{which}") > 0, F.col(f"c_{which}") / context).otherwise(F.lit(0.0))).drop("pair", "before", f"c_{which}", f"h_{which}")
 
     shared = spark.sparkContext.broadcast(model)
-    events = written(docs.where(F.col("part") == HELD).select("text").mapInArrow(_events(shared), "bucket long, o2 long, o1 long, word long, rare boolean, n long").groupBy("bucket", "o2", "o1", "word", "rare").agg(F.sum("n").alias("n")), "events")
-    usual = events.where(~F.col("rare")).select("bucket", "o2", "o1", "n").toArrow()  # bounded by the buckets and steps
-    rare = events.where("rare").join(counts, "word", "left").groupBy("bucket", F.coalesce("train", F.lit(0)).alias("c")).agg(F.sum("n").alias("n"))
-    rare = rare.groupBy("bucket", F.round(4 * F.log2(F.greatest("c", F.lit(0.5)))).cast("long").alias("o1")).agg(F.sum("n").alias("n")).toArrow()
+    events = written(docs.where(F.col("part") == HELD).select("text").mapInArrow(_events(shared), f"{_EVENTS}, n long").groupBy("bucket", "o2", "o1", "word", "pair", "before", "rare", "open").agg(F.sum("n").alias("n")), "events")
+    known = events.where("not open").select("bucket", "o2", "o1", "n")
+    waiting = estimate(events.where("open and not rare").select("bucket", "o1", "pair", "before", "n"), "train").select("bucket", _octave(F.col("p2")).alias("o2"), "o1", "n")
+    rare = estimate(events.where("rare").select("bucket", "word", "pair", "before", "n"), "train").join(counts.select("word", "train"), "word", "left")
+    rare = rare.select("bucket", _octave(F.col("p2")).alias("o2"), _octave(F.coalesce("train", F.lit(0)) / F.lit(float(max(model.tokens[1], 1)))).alias("o1"), "n")
+    usual = known.unionByName(waiting).unionByName(rare).groupBy("bucket", "o2", "o1").agg(F.sum("n").alias("n")).toArrow()  # bounded by the buckets and steps
     back = lambda o: np.where(o <= -1000, 0.0, 2.0 ** (o / 4))
-    r1 = rare["o1"].to_numpy()
-    model.weights = learn_weights(
-        np.concatenate([usual["bucket"].to_numpy(), rare["bucket"].to_numpy()]), np.concatenate([back(usual["o2"].to_numpy()), np.zeros(len(r1))]),
-        np.concatenate([back(usual["o1"].to_numpy()), np.where(r1 < 0, 0.0, 2.0 ** (r1 / 4)) / max(model.tokens[1], 1)]), np.concatenate([usual["n"].to_numpy(), rare["n"].to_numpy()]).astype(float), model.types,
-    )
+    model.weights = learn_weights(usual["bucket"].to_numpy(), back(usual["o2"].to_numpy()), back(usual["o1"].to_numpy()), usual["n"].to_numpy().astype(float), model.types)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["id"].dataType.simpleString()
-    scanned = written(docs.select("id", (F.col("part") == TEST).alias("held_out"), "text").mapInArrow(_scorer(shared), f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, buckets array<tinyint>"), "scanned")
-    single = scanned.select("row", F.explode(F.arrays_zip("rare", "buckets")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.buckets").cast("int").alias("bucket"))
-    single = single.join(counts.select("word", (F.col("train") + F.col("held")).alias("c")), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    weight = lambda k: F.element_at(F.array(*(F.lit(float(x)) for x in model.weights[:, k])), F.col("bucket") + 1)
-    p = weight(1) * F.col("c") / F.lit(float(max(total, 1))) + weight(2) / F.lit(float(model.types + 1))
+    scanned = written(docs.select("id", (F.col("part") == TEST).alias("held_out"), "text").mapInArrow(_scorer(shared), f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, score double, open {_OPEN}, rare {_RARE}"), "scanned")
+    single = estimate(scanned.select("row", F.inline("open")), "all").withColumn("fresh", F.lit(False))
+    rare = estimate(scanned.select("row", F.inline("rare")), "all").join(counts.select("word", (F.col("train") + F.col("held")).alias("c")), "word", "left")
+    single = single.select("row", "bucket", "p2", F.col("count").alias("c"), "fresh").unionByName(rare.select("row", "bucket", "p2", F.coalesce("c", F.lit(0)).alias("c"), F.lit(True).alias("fresh")))
+    weight = lambda k: F.element_at(F.array(*(F.lit(float(x)) for x in model.weights[:, k])), F.col("bucket").cast("int") + 1)
+    p = weight(0) * F.col("p2") + weight(1) * F.col("c") / F.lit(float(max(total, 1))) + weight(2) / F.lit(float(model.types + 1))
     base = F.log10((F.col("c") + 0.5) / F.lit(total + 0.5 * (model.types + 1)))
-    extra = single.groupBy("row").agg(F.count_if(F.col("c") > 0).alias("r_known"), F.sum(base).alias("r_base"), F.sum(F.log10(p)).alias("r_score"))
+    extra = single.groupBy("row").agg(F.count_if(F.col("fresh") & (F.col("c") > 0)).alias("r_known"), F.sum(F.when(F.col("fresh"), base)).alias("r_base"), F.sum(F.log10(p)).alias("r_score"))
     none = lambda c: F.coalesce(c, F.lit(0))
-    return scanned.drop("rare", "buckets").join(extra, "row", "left").select(
+    return scanned.drop("open", "rare").join(extra, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + none("r_known")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + none("r_base")).alias("base_score"), (F.col("score") + none("r_score")).alias("score")
     )

@@ -276,6 +276,31 @@ def test_language_model_with_rare_words(spark, sf, monkeypatch):
         assert r.n_known == every[r.doc_id][0] and r.base_score == pytest.approx(every[r.doc_id][1])
 
 
+@pytest.mark.parametrize("frequent", [4e-7, 1e-3])
+def test_language_model_has_every_pair(spark, sf, monkeypatch, frequent):
+    """Scores by the formula over all pairs, where nearly every pair (and, the second time, word and context) comes by a join."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
+    kept, learn, unit = [], lm.learn_weights, lm.FREQUENT  # workers have the module's own value, by which buckets go
+    monkeypatch.setattr(lm, "learn_weights", lambda *a: kept.append(learn(*a)) or kept[-1])
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "PAIRS", 1e-3)
+    got = {r.doc_id: r.score for r in lm.lm_scores(docs).collect()}
+    texts = {i: [*words(t), None] for i, t in docs.collect()}
+    train = [ws for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    one = collections.Counter(w for ws in train for w in ws)
+    two = collections.Counter(x for ws in train for x in zip(["<s>", *ws], ws))
+    n, v, context = sum(one.values()), len(one), one | collections.Counter({"<s>": len(train)})
+
+    def p(h, w):
+        total = context[h] if h == "<s>" or one[h] >= max(1, frequent * n) else 0
+        b = 1 if h == "<s>" else min(lm.BUCKETS - 1, max(0, 2 + math.floor(math.log2(total / (unit * n))))) if total else 0
+        return math.log10(kept[-1][b] @ [two[h, w] / max(context[h], 1), one[w] / n, 1 / (v + 1)])
+
+    assert sum(c < 1e-3 * n for c in two.values()) > 0.9 * len(two)
+    for i, ws in texts.items():
+        assert got[i] == pytest.approx(sum(map(p, ["<s>", *ws], ws)))
+
+
 def test_quality(spark):
     line = "this very line is printed by every document of the host again"
     texts = AWKWARD + [f"{line}\n{' '.join(prose(i, 60))}" for i in range(30)] + [f"{line}\n{line.upper()}\n{' '.join(prose(500 + i, 4))}" for i in range(20)]
