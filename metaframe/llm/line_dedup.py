@@ -26,8 +26,8 @@ from metaframe.llm.shared import small, written
 SHINGLE = 8
 # Lines link when 10 * intersection >= 8 * union, a similarity of 0.8.
 BANDS, ROWS = 10, 4
-#: Lines of fewer characters other than white space are never removed: short lines recur by chance.
-MIN_CHARS = 60
+#: Lines of fewer characters other than white space have no shingle, and are never removed.
+MIN_CHARS = SHINGLE
 _SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
 
 

@@ -242,6 +242,12 @@ def test_line_dedup_equals_brute_force(spark, sf):
     assert right >= 0.98 * sum(map(len, gone.values())) and sum(map(len, got.values())) == right
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = ["eight ch\nAll rights reserved.\nown 1", "Eightch\nall rights  RESERVED.\nown 2", "something else here\nall rights reserved.\neightch", "all rights reserved."]
+    got = {r.doc_id: r._gone for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {0: [], 1: [1], 2: [1], 3: [0]}
+
+
 def test_language_model(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(frame(spark, AWKWARD, [5000 + i for i in range(len(AWKWARD) - 1)] + [None]).select("doc_id", "text"))
