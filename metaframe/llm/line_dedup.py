@@ -6,8 +6,9 @@ of that subset, and costs a quarter), and banded for a recall of 0.995 at the th
 verified by the exact Jaccard similarity of all shingles, links become components by distributed union-find,
 and the first line of each component stays, in the order of document id and line number.
 
-Nodes are distinct lines, so that any number of equal lines is one node; members of a band's bucket are
-compared with its least member, never with each other.
+Nodes are distinct lines, so that any number of equal lines is one node. Members of a band's bucket are compared
+with its least member first; where that leaves a bucket with several components, its members of different ones are
+compared with each other, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaframe.llm.components import components
-from metaframe.llm.kernels import U64, WHITE, Texts, batches, int64, list_array, mix, span_hashes
+from metaframe.llm.components import components, local_forest
+from metaframe.llm.kernels import U64, WHITE, Texts, batches, int64, list_array, mix, span_hashes, trim
 from metaframe.llm.shared import small, written
 
 SHINGLE = 8
@@ -28,6 +29,8 @@ SHINGLE = 8
 BANDS, ROWS = 10, 4
 #: Lines of fewer characters other than white space have no shingle, and are never removed.
 MIN_CHARS = SHINGLE
+#: Most lines of a block in which all are compared, and most characters, about.
+BLOCK, BLOCK_CHARS = 256, 1 << 18
 _SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
 
 
@@ -119,6 +122,66 @@ def _verified(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
 
+def _compared(root: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the links between members of different components; those of sides 1 and 2 are compared across the sides only."""
+    n = np.array([len(x) for x in sets])
+    member = np.repeat(np.arange(len(sets)), n)
+    _, which, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = held > 1  # the others are in no intersection
+    place = np.cumsum(common) - 1
+    member, which = member[common[which]], place[which[common[which]]]
+    order = np.argsort(which, kind="stable")
+    member, which = member[order], which[order]
+    same = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for lo in range(0, int(common.sum()), 4096):
+        a, b = np.searchsorted(which, [lo, lo + 4096])
+        part = np.zeros((len(sets), 4096), dtype=np.float32)
+        part[member[a:b], which[a:b] - lo] = 1
+        same += part @ part.T
+    linked = (10 * same >= 8 * (n[:, None] + n - same)) & (root[:, None] != root) & ((side[:, None] != side) | (side == 0))
+    return np.nonzero(np.triu(linked, 1))
+
+
+def _block_links(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block: u and v, links of each block between different components, without those that follow from others."""
+
+    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        root, side, node = (t.column(c).to_numpy() for c in ("root", "side", "hash"))
+        if (root == root[0]).all():
+            return
+        u, v = _compared(root, side, _sets(t.column("chars").combine_chunks()))
+        if len(u):
+            u, v = local_forest(node[u], node[v])
+            yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    rest: pa.Table | None = None
+    for batch in stream:
+        t = pa.Table.from_batches([batch])
+        rest = t if rest is None else pa.concat_tables([rest, t])
+        last = 0
+        for c in np.flatnonzero(np.diff(rest.column("block").to_numpy())) + 1:
+            yield from of(rest.slice(last, c - last))
+            last = c
+        rest = rest.slice(last).combine_chunks()
+    if rest is not None and rest.num_rows:
+        yield from of(rest)
+    trim()
+
+
+def _within_buckets(met: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) that the stars of the buckets leave out. met: each bucket's key and members; found: the components so far."""
+    rooted = met.join(found, F.col("hash") == F.col("node"), "left").select("key", "hash", F.coalesce("root", "hash").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 < r1 and size > 2")
+    members = written(rooted.join(several.select("key", "size"), "key").join(texts.select("hash", F.length("chars").alias("width")), "hash"), "members")
+    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("width") / BLOCK_CHARS)).cast("int").alias("blocks"))
+    spread = members.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("hash", "key"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    blocks = spread.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), side.alias("side"), "hash", "root")
+    blocks = blocks.join(texts, "hash").repartition("block").sortWithinPartitions("block")
+    return blocks.select("block", "side", "hash", "root", "chars").mapInArrow(_block_links, "u long, v long").distinct()
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, line, hash, component) of each eligible line, and (component, id, line) of the one that stays."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -126,11 +189,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     signed = written(docs.mapInArrow(_signatures, f"id {id_type}, line long, hash long, keys array<long>"), "signed")
     keys = signed.select("hash", F.explode("keys").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high").select("key", "low")
-    pairs = written(keys.join(buckets, "key").where("hash <> low").select(F.col("hash").alias("u"), F.col("low").alias("v")).distinct(), "pairs")
+    met = written(keys.join(buckets, "key").select("key", "hash", "low").distinct(), "met")
+    pairs = written(met.where("hash <> low").select(F.col("hash").alias("u"), F.col("low").alias("v")).distinct(), "pairs")
     asked = small(written(pairs.select(F.explode(F.array("u", "v")).alias("hash")).distinct(), "asked"))
     texts = written(docs.select("text").mapInArrow(_squeezed, "hash long, chars string").join(asked, "hash").dropDuplicates(["hash"]), "texts")
     linked = pairs.join(texts.select(F.col("hash").alias("u"), F.col("chars").alias("left")), "u").join(texts.select(F.col("hash").alias("v"), F.col("chars").alias("right")), "v")
-    found = components(linked.select("u", "v", "left", "right").mapInArrow(_verified, "u long, v long"))
+    links = written(linked.select("u", "v", "left", "right").mapInArrow(_verified, "u long, v long"), "links")
+    found = components(links)
+    more = written(_within_buckets(met.drop("low"), found, texts), "more")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     lines = signed.drop("keys").join(found, F.col("hash") == F.col("node"), "left").select("id", "line", "hash", F.coalesce("root", "hash").alias("component"))
     lines = written(lines, "lines")
     return lines, written(lines.groupBy("component").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first.id", "first.line"), "stay")

@@ -248,6 +248,17 @@ def test_line_dedup_of_short_lines(spark):
     assert got == {0: [], 1: [1], 2: [1], 3: [0]}
 
 
+def test_line_dedup_within_buckets(spark):
+    """Pairs of lines (similarity 0.83) of many templates that are similar to each other (0.75), but not linked."""
+    r = random.Random(9)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    fixed = letters(93), letters(93)
+    slots = [letters(21) for _ in range(150)]
+    lines = [f"{fixed[0]}{s}{fixed[1]}" for s in slots] + [f"{fixed[0]}{s[:4]}{letters(12)}{s[16:]}{fixed[1]}" for s in slots]
+    got = {r.id: r.gone for r in line_dedup.removals(frame(spark, lines)).collect()}
+    assert set(got) <= {150 + i for i in range(150)} and len(got) >= 147
+
+
 def test_language_model(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(frame(spark, AWKWARD, [5000 + i for i in range(len(AWKWARD) - 1)] + [None]).select("doc_id", "text"))
