@@ -1,8 +1,7 @@
 """Fuzzy line deduplication by MinHash over character shingles.
 
 A line is compared without white space and with A-Z lowered. Its shingles are all runs of SHINGLE characters.
-Signatures are made of the shingles whose hash falls in one of four classes (a minimum over them is a MinHash
-of that subset, and costs a quarter), and banded for a recall of 0.995 at the threshold. Candidates are
+Signatures are made of all shingles, in 32 bits, and banded for a recall of 0.995 at the threshold. Candidates are
 verified by the exact Jaccard similarity of all shingles, links become components by distributed union-find,
 and the first line of each component stays, in the order of document id and line number.
 
@@ -31,7 +30,7 @@ BANDS, ROWS = 10, 4
 MIN_CHARS = SHINGLE
 #: Most lines of a block in which all are compared, and most characters, about.
 BLOCK, BLOCK_CHARS = 256, 1 << 18
-_SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
+_SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)).astype(np.uint32) | np.uint32(1)
 
 
 class Lines:
@@ -79,20 +78,17 @@ def _signatures(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolled = lines.rolled()
         at = np.repeat(start - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum()) if len(own) else np.zeros(0, np.int64)
         h = rolled[at]
-        taken = (h & U64(3)) == 0
-        h, line = h[taken], np.repeat(np.arange(len(own)), width)[taken]
-        some, first = np.unique(line, return_index=True)
-        keys = np.zeros((len(some), BANDS), dtype=U64)
-        if len(some):
+        low, high = h.astype(np.uint32), (h >> U64(32)).astype(np.uint32)
+        first = np.cumsum(width) - width
+        keys = np.zeros((len(own), BANDS), dtype=U64)
+        if len(own):
             for band in range(BANDS):
-                key = np.full(len(some), U64(band + 1))
+                key = np.full(len(own), U64(band + 1))
                 for row in range(ROWS):
-                    key = mix(key ^ np.minimum.reduceat((h * _SALTS[band * ROWS + row]) ^ (h >> U64(31)), first))
+                    key = mix(key ^ np.minimum.reduceat((low * _SALTS[band * ROWS + row]) ^ high, first).astype(U64))
                 keys[:, band] = key
-        counts = np.zeros(len(own), dtype=np.int64)
-        counts[some] = BANDS
         ids = batch.column(0).take(pa.array(lines.doc[own]))
-        yield pa.record_batch([ids, pa.array(lines.number[own].astype(np.int64)), int64(lines.hashes(own)), list_array(keys.ravel(), np.concatenate(([0], np.cumsum(counts))))], names=["id", "line", "hash", "keys"])
+        yield pa.record_batch([ids, pa.array(lines.number[own].astype(np.int64)), int64(lines.hashes(own)), list_array(keys.ravel(), np.arange(len(own) + 1) * BANDS)], names=["id", "line", "hash", "keys"])
 
 
 def _squeezed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +96,11 @@ def _squeezed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(stream, 1 << 20):
         lines = Lines(batch.column(0))
         own = lines.eligible()
-        text = lines.points.astype(np.uint32).tobytes()
-        yield pa.record_batch([int64(lines.hashes(own)), pa.array([text[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(lines.start[own], lines.end[own], strict=True)], pa.string())], names=["hash", "chars"])
+        points = lines.points.astype(np.uint32)
+        data = points.tobytes().decode("utf-32-le").encode()
+        at = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF))))
+        chars = pa.LargeStringArray.from_buffers(len(lines.start), pa.py_buffer(at[np.append(lines.start, lines.end[-1:])].tobytes()), pa.py_buffer(data))
+        yield pa.record_batch([int64(lines.hashes(own)), chars.take(pa.array(own)).cast(pa.string())], names=["hash", "chars"])
 
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
@@ -133,9 +132,10 @@ def _compared(root: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tup
     order = np.argsort(which, kind="stable")
     member, which = member[order], which[order]
     same = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    width = min(4096, int(common.sum()))
     for lo in range(0, int(common.sum()), 4096):
         a, b = np.searchsorted(which, [lo, lo + 4096])
-        part = np.zeros((len(sets), 4096), dtype=np.float32)
+        part = np.zeros((len(sets), width), dtype=np.float32)
         part[member[a:b], which[a:b] - lo] = 1
         same += part @ part.T
     linked = (10 * same >= 8 * (n[:, None] + n - same)) & (root[:, None] != root) & ((side[:, None] != side) | (side == 0))
@@ -145,26 +145,28 @@ def _compared(root: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tup
 def _block_links(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block: u and v, links of each block between different components, without those that follow from others."""
 
-    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def of(t: pa.Table, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         root, side, node = (t.column(c).to_numpy() for c in ("root", "side", "hash"))
         if (root == root[0]).all():
             return
-        u, v = _compared(root, side, _sets(t.column("chars").combine_chunks()))
+        u, v = _compared(root, side, sets)
         if len(u):
             u, v = local_forest(node[u], node[v])
             yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
     rest: pa.Table | None = None
+    sets: list[np.ndarray] = []
     for batch in stream:
         t = pa.Table.from_batches([batch])
-        rest = t if rest is None else pa.concat_tables([rest, t])
+        sets += _sets(batch.column(4))
+        rest = t.drop(["chars"]) if rest is None else pa.concat_tables([rest, t.drop(["chars"])])
         last = 0
         for c in np.flatnonzero(np.diff(rest.column("block").to_numpy())) + 1:
-            yield from of(rest.slice(last, c - last))
+            yield from of(rest.slice(last, c - last), sets[last:c])
             last = c
-        rest = rest.slice(last).combine_chunks()
+        rest, sets = rest.slice(last).combine_chunks(), sets[last:]
     if rest is not None and rest.num_rows:
-        yield from of(rest)
+        yield from of(rest, sets)
     trim()
 
 
@@ -194,11 +196,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = small(written(pairs.select(F.explode(F.array("u", "v")).alias("hash")).distinct(), "asked"))
     texts = written(docs.select("text").mapInArrow(_squeezed, "hash long, chars string").join(asked, "hash").dropDuplicates(["hash"]), "texts")
     linked = pairs.join(texts.select(F.col("hash").alias("u"), F.col("chars").alias("left")), "u").join(texts.select(F.col("hash").alias("v"), F.col("chars").alias("right")), "v")
-    links = written(linked.select("u", "v", "left", "right").mapInArrow(_verified, "u long, v long"), "links")
-    found = components(links)
+    found = components(linked.select("u", "v", "left", "right").mapInArrow(_verified, "u long, v long"))
     more = written(_within_buckets(met.drop("low"), found, texts), "more")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     lines = signed.drop("keys").join(found, F.col("hash") == F.col("node"), "left").select("id", "line", "hash", F.coalesce("root", "hash").alias("component"))
     lines = written(lines, "lines")
     return lines, written(lines.groupBy("component").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first.id", "first.line"), "stay")

@@ -259,6 +259,19 @@ def test_line_dedup_within_buckets(spark):
     assert set(got) <= {150 + i for i in range(150)} and len(got) >= 147
 
 
+def test_line_dedup_signs_all_shingles(spark):
+    """Lines of one distinct shingle, and short lines at the threshold: recall in a sample of each width."""
+    rulers = [c * n for c in "-=*#~_.+" for n in (61, 70)]
+    assert line_dedup.removals(frame(spark, rulers)).count() == 8
+    r = random.Random(7)
+    for width, tail in ((20, 1), (60, 5), (87, 8)):  # similarity 0.86, 0.83 and 0.82
+        lines = [[r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(width)] for _ in range(1500)]
+        near = [x[:-tail] + [r.choice("0123456789")] + x[width - tail + 1 :] for x in lines]
+        got = line_dedup.removals(frame(spark, ["".join(x) for x in lines + near])).count()
+        print(width, got / 1500)
+        assert got >= 0.99 * 1500
+
+
 def test_language_model(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(frame(spark, AWKWARD, [5000 + i for i in range(len(AWKWARD) - 1)] + [None]).select("doc_id", "text"))
