@@ -405,6 +405,14 @@ def test_html_suffix_array(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def test_html_runs_of_a_large_host(spark):
+    """A run on four pages of a host with some megabytes of pages, far from each other."""
+    run = "this run of nine words is on four pages"
+    pages = [(i, f"http://h/{i}", f"<body><p>{' '.join(prose(i, 30))}</p>{f'<div>{run}</div>' if i % 10 == 3 else ''}<script>{'x' * 100_000}</script></body>") for i in range(40)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(prose(i, 30)) for i in range(40)}
+
+
 def test_runs_of_the_suffix_array_equal_brute_force():
     r = random.Random(4)
     pages = [[r.choice("ab") for _ in range(r.randint(0, 40))] for _ in range(9)]
