@@ -52,8 +52,8 @@ SCHEMA = Schema(
 )
 
 
-def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their labels as records; keyword is repeated in some, and mood is unknown to the schema."""
+def document_records(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Documents with their labels as records, and more of their columns; keyword is repeated in some, and mood is unknown to the schema."""
     docs = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
     pair = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
     entries = F.array(
@@ -67,7 +67,7 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         pair("mood", F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("fair")))),
     )
     fields = F.map_from_entries(F.filter(entries, lambda e: e.v.isNotNull()))
-    return docs.select(F.concat(F.lit("doc_"), _text("doc_id")).alias("record_id"), F.lit("text").alias("record_type"), fields.alias("fields"), F.lit("").alias("original_xml"), F.col("doc_id").alias("ord"))
+    return docs.select(F.concat(F.lit("doc_"), _text("doc_id")).alias("record_id"), F.lit("text").alias("record_type"), fields.alias("fields"), F.lit("").alias("original_xml"), F.col("doc_id").alias("ord"), *more)
 
 
 _GENRE_LIST = ", ".join(f"'{g}'" for g in GENRES)
@@ -463,8 +463,8 @@ def preferred_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def prompt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = document_records(spark, sf_dir)
-    return extraction.prompts(docs, SCHEMA, {"project_name": "test", "corpus_type": "custom"}, T.truncate(F.col("fields")["title"][0], 1000))
+    docs = document_records(spark, sf_dir, "text")
+    return extraction.prompts(docs, SCHEMA, {"project_name": "test", "corpus_type": "custom"}, T.truncate(F.col("text"), 60_000))
 
 
 @query()
