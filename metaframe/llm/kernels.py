@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
@@ -27,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=U64))
+BYTE_VALUES = mix(np.arange(1, 257, dtype=U64))
 
 
 def byte_class(chars: bytes) -> np.ndarray:
@@ -42,36 +43,44 @@ NOT_ALNUM = byte_class(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_POWERS = np.ones(1, dtype=U64)
-_INVERSES = np.ones(1, dtype=U64)
+#: Values that a block of span hashes reads at once, and the width from which a span is hashed by itself.
+_BLOCK, _WIDE = 1 << 18, 256
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n, grown by doubling."""
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        inverse = U64(pow(int(_BASE), -1, 1 << 64))
-        size = 1 << max(10, (n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.concatenate(([U64(1)], np.full(size - 1, _BASE))), dtype=U64)
-            _INVERSES = np.cumprod(np.concatenate(([U64(1)], np.full(size - 1, inverse))), dtype=U64)
-    return _POWERS, _INVERSES
+def _powers(base: int) -> np.ndarray:
+    """base**i modulo 2**64 for i up to the block and the widest span that begins in it."""
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate(([U64(1)], np.full(_BLOCK + _WIDE, U64(base)))), dtype=U64)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span values[start:end]; values are 64-bit. Work goes in blocks, so memory stays bounded."""
+_POWERS, _INVERSES = _powers(int(_BASE)), _powers(pow(int(_BASE), -1, 1 << 64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each span data[start:end] of integers; spans are in order and may overlap.
+
+    Spans under 256 values are sums of powers, made in blocks, over the table's value for each integer (without
+    a table: its mix). Wider ones go to xxh3 one by one: sums of powers modulo 2**64 are equal for some pairs
+    of long texts, and need tables as long as the span. So memory is bounded, whatever the widths.
+    """
     out = np.empty(len(starts), dtype=U64)
-    block, i = 1 << 18, 0
-    while i < len(starts):
-        lo = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, lo + block, side="right")))
-        hi = int(ends[j - 1])
-        powers, inverses = _powers(hi - lo + 1)
+    width = ends - starts
+    wide = np.flatnonzero(width >= _WIDE)
+    for i in wide.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    short = np.flatnonzero(width < _WIDE) if len(wide) else slice(None)
+    own, stop, found, i = starts[short], ends[short], np.empty(len(starts) - len(wide), dtype=U64), 0
+    while i < len(own):
+        lo = int(own[i])
+        j = max(i + 1, int(np.searchsorted(own, lo + _BLOCK, side="left")))
+        hi = max(lo, int(stop[i:j].max()))
+        part = data[lo:hi]
         sums = np.zeros(hi - lo + 1, dtype=U64)
-        np.cumsum(values[lo:hi] * powers[: hi - lo], out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (sums[e] - sums[s]) * inverses[s] + (e - s).astype(U64) * _GOLD
+        np.cumsum((mix(part.astype(U64)) if table is None else table[part]) * _POWERS[: hi - lo], out=sums[1:])
+        s, e = own[i:j] - lo, stop[i:j] - lo
+        found[i:j] = (sums[e] - sums[s]) * _INVERSES[s] + (e - s).astype(U64) * _GOLD
         i = j
+    out[short] = found
     return mix(out)
 
 
@@ -117,7 +126,7 @@ class Words:
         self.data, self.starts, self.ends, self.first = data, starts, ends, first
 
     def hashes(self) -> np.ndarray:
-        return span_hashes(_BYTE_VALUES[self.data] if len(self.data) else np.zeros(0, U64), self.starts, self.ends)
+        return span_hashes(self.data, self.starts, self.ends, BYTE_VALUES)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaframe.llm.kernels import NOT_ALNUM, Texts, Words, batches, byte_class, span_hashes
-from metaframe.llm.kernels import _BYTE_VALUES as BYTE_VALUES
+from metaframe.llm.kernels import BYTE_VALUES, NOT_ALNUM, Texts, Words, batches, byte_class, span_hashes
 
 #: Most labelled rows of each class that fitting reads, chosen by the hash of their ids.
 SAMPLE = 2000
@@ -103,7 +102,7 @@ def _utf8(word: str) -> np.ndarray:
 def _hash_of(words: list[str]) -> np.ndarray:
     data = np.concatenate([_utf8(w) for w in words]) if words else np.zeros(0, np.uint8)
     ends = np.cumsum([len(w.encode()) for w in words], dtype=np.int64)
-    return span_hashes(BYTE_VALUES[data], np.concatenate(([0], ends[:-1])) if words else ends, ends)
+    return span_hashes(data, np.concatenate(([0], ends[:-1])) if words else ends, ends, BYTE_VALUES)
 
 
 _BREAKS = byte_class(b".,;:!?\n")
@@ -131,8 +130,7 @@ class Grammar:
 
     def symbols(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Each word's symbol, and its weight if it matches a stem."""
-        values = BYTE_VALUES[words.data]
-        h = span_hashes(values, words.starts, words.ends)
+        h = words.hashes()
         known, kinds = self.closed
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         symbol = np.where(known[at] == h, kinds[at], OTHER)
@@ -140,7 +138,7 @@ class Grammar:
         size = words.ends - words.starts
         for length, (stems, kinds, weights) in sorted(self.by_length.items()):
             long = np.flatnonzero(size >= length)
-            h = span_hashes(values, words.starts[long], words.starts[long] + length)
+            h = span_hashes(words.data, words.starts[long], words.starts[long] + length, BYTE_VALUES)
             at = np.minimum(np.searchsorted(stems, h), len(stems) - 1)
             ok = stems[at] == h
             symbol[long[ok]], weight[long[ok]] = kinds[at[ok]], weights[at[ok]]
