@@ -58,7 +58,7 @@ class Lines:
         return np.flatnonzero(self.end - self.start >= MIN_CHARS)
 
     def hashes(self, lines: np.ndarray) -> np.ndarray:
-        return span_hashes(mix(self.points), self.start[lines], self.end[lines])
+        return span_hashes(self.points, self.start[lines], self.end[lines])
 
     def rolled(self) -> np.ndarray:
         """The hash of the shingle that begins at each character."""
@@ -221,7 +221,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     an id are one document: equal line numbers stay or go in all of them. Null ids are one id, the least.
     """
     gone = written(removals(docs, id_col, text_col), "gone").select(F.col("id").alias("_id"), F.col("gone").alias("_gone"))
-    out = docs.join(small(gone, weight=F.size("_gone") + 2), F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    out = docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("_id")), "left")
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_gone", i.cast("long")))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.coalesce("_gone", F.array().cast("array<long>")).alias("_gone"))

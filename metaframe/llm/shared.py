@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 _made: list[str] = []
-#: Most rows of 8-byte ids that are broadcast (32 MB); beyond it joins shuffle.
-BROADCAST_IDS = 4_000_000
+#: Most bytes of a table that is broadcast; beyond it joins shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def bounded(spark: SparkSession) -> None:
@@ -56,7 +57,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_IDS, weight: Column | None = None) -> DataFrame:
-    """df marked for a broadcast when its rows, or the sum of their weights, are `limit` at most. It should be a written table, which is cheap to count."""
-    size = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+def _bytes(df: DataFrame) -> Column:
+    """The bytes of a row as Spark holds it: 8 for each column and row, and what strings and arrays have besides."""
+    width = F.lit(8 + 8 * len(df.columns))
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, ArrayType):
+            width = width + F.coalesce(8 * F.size(c), F.lit(0))
+        elif isinstance(f.dataType, StringType | BinaryType):
+            width = width + F.coalesce(F.octet_length(c), F.lit(0))
+    return width.cast("long")
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for a broadcast when its rows have `limit` bytes at most. It should be a written table, which is cheap to sum, with arrays of numbers at most."""
+    size = df.agg(F.coalesce(F.sum(_bytes(df)), F.lit(0))).first()[0]
     return F.broadcast(df) if size <= limit else df

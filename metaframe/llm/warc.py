@@ -318,7 +318,7 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     register(pages.sparkSession)
     pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("target_uri"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     copies = pages.where(F.length("payload") >= REVISIT_FROM).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    copies = small(written(copies, "copies"), 500_000)
+    copies = small(written(copies, "copies"))
     marked = pages.join(copies, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     marked.select(
