@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -18,6 +19,7 @@ from metaframe.llm.stages import tokenizer_path
 
 DOCS = "doc_id long, text string, source string, n_words long, component_id string, score int, row int, id int, keys int"
 LOW = {c: c + 32 for c in range(65, 91)}
+NONE = np.zeros(0, np.uint64)
 
 
 def frame(spark, texts, ids=None, source="s"):
@@ -387,9 +389,20 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_html_structure():
-    assert html_extract.main_texts([html_extract.blocks(PAGE)]) == ["Head & line One two. Next\xa0x Three L1 L2"]
-    assert html_extract.blocks("") == [] and html_extract.main_texts([[]]) == [""]
-    assert html_extract.main_texts([html_extract.blocks("<p>a < b<p>c <x")]) == ["a < b c <x"]
+    text = lambda page: html_extract.main_text_of(html_extract.blocks(page), NONE, NONE)
+    assert text(PAGE) == "Head & line One two. Next\xa0x Three L1 L2"
+    assert html_extract.blocks("") == [] and text("") == ""
+    assert text("<p>a < b<p>c <x") == "a < b c <x"
+    assert text("<p title='a > b' data-x=\"<nav>\">one</p><p id=x/>two<br/>three</p><div class=ad>no</div>") == "one two three"
+
+
+def test_html_in_linear_time():
+    """Broken markup that would take a backtracking pattern, or a search from each tag, more than its length."""
+    began = time.process_time()
+    for page in ("<a " + "b='1' c " * 10_000, "<div x" * 50_000, "<a '" * 50_000, "<a x='>" * 30_000, "<" * 100_000, "<a" * 100_000 + ">", "<script>" * 10_000, "<script>" + "</script " * 50_000, "<div>" * 50_000 + "</span>" * 50_000 + "<p>" * 20_000, "<!--" * 50_000):
+        html_extract.blocks(page)
+    assert time.process_time() - began < 20
+    assert html_extract.blocks("<p>x</p><a " + "b='1' " * 10_000)[0] == ("x", html_extract.NEUTRAL)
 
 
 def test_html_suffix_array(spark):
@@ -418,13 +431,39 @@ def test_runs_of_the_suffix_array_equal_brute_force():
     pages = [[r.choice("ab") for _ in range(r.randint(0, 40))] for _ in range(9)]
     flat = np.array([ord(x) for p in pages for x in p], dtype=np.uint64)
     first = np.concatenate(([0], np.cumsum([len(p) for p in pages])))
-    run, least = html_extract.RUN, html_extract.PAGES
-    holders = collections.defaultdict(set)
+    run = html_extract.RUN
+    main = np.array([r.random() < 0.8 for _ in flat])
+    holders, inside, begins = collections.defaultdict(set), collections.defaultdict(set), {}
     for i, p in enumerate(pages):
         for k in range(len(p) - run + 1):
-            holders[tuple(p[k : k + run])].add(i)
-    expected = [any(0 <= s and s + run <= len(p) and len(holders[tuple(p[s : s + run])]) >= least for s in range(k - run + 1, k + 1)) for p in pages for k in range(len(p))]
-    assert html_extract.covered(flat, first).tolist() == expected
+            key, at = tuple(p[k : k + run]), first[i] + k
+            holders[key].add(i)
+            begins.setdefault(key, at)
+            if main[at] and main[at + run - 1]:
+                inside[key].add(i)
+    got = {(int(a), int(n), int(m)) for a, n, m in zip(*html_extract.repeated_runs(flat, first, main), strict=True)}
+    assert got == {(at, len(holders[key]), len(inside[key])) for key, at in begins.items()}
+
+
+@pytest.mark.parametrize("text", ["", "a", "banana", "aaaaaaa", "abcabcabcabc", "mississippi"])
+def test_suffix_array(text):
+    order, common = html_extract.suffix_array(np.array([ord(c) for c in text], dtype=np.int64))
+    expected = sorted(range(len(text)), key=lambda i: text[i:])
+    assert order.tolist() == expected
+    assert common.tolist() == [0][: len(text)] + [len(os.path.commonprefix([text[a:], text[b:]])) for a, b in zip(expected, expected[1:])]
+
+
+@pytest.mark.parametrize("shard", [250_000, 300])
+def test_html_templates_within_articles(spark, monkeypatch, shard):
+    """What nearly all articles of a host print goes, in one shard and in many; a line of some of them, of copies or of adverts stays."""
+    monkeypatch.setattr(html_extract, "SHARD", shard)
+    line, common = "a line that a third of all the articles of this host print", "share this fine article with all of your friends today"
+    texts = [f"{' '.join(prose(i, 30))} {line if i % 3 else ''} own {i}" for i in range(40)]
+    page = lambda t, end: f"<nav>{line}</nav><article><p>{t}</p><div>{end}</div></article>"
+    pages = [(i, "http://h/", page(t, common)) for i, t in enumerate(texts)] + [(100 + i, "http://g/", page(texts[0], common)) for i in range(40)] + [(200 + i, "http://f/", page(texts[i], common)) for i in range(19)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    flat = lambda t: " ".join(t.split())
+    assert got == {i: flat(t) for i, t in enumerate(texts)} | {100 + i: flat(f"{texts[0]} {common}") for i in range(40)} | {200 + i: flat(f"{texts[i]} {common}") for i in range(19)}
 
 
 def test_toxicity_grammar():
