@@ -21,6 +21,7 @@ import json
 import re
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,11 +58,11 @@ def _line(value: str) -> str:
 
 
 def gzip_member(data: bytes, level: int = 6) -> bytes:
-    """A gzip member whose extra field "sl" holds its compressed and uncompressed lengths."""
+    """A gzip member whose extra field "sl" holds its compressed length (0: 4 GiB or more) and uncompressed length."""
     body = zlib.compressobj(level, zlib.DEFLATED, -15)
     packed = body.compress(data) + body.flush()
     total = 10 + 2 + 12 + len(packed) + 8
-    extra = b"sl" + (8).to_bytes(2, "little") + (total & 0xFFFFFFFF).to_bytes(4, "little") + (len(data) & 0xFFFFFFFF).to_bytes(4, "little")
+    extra = b"sl" + (8).to_bytes(2, "little") + (total if total < 1 << 32 else 0).to_bytes(4, "little") + (len(data) & 0xFFFFFFFF).to_bytes(4, "little")
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + len(extra).to_bytes(2, "little") + extra + packed + zlib.crc32(data).to_bytes(4, "little") + (len(data) & 0xFFFFFFFF).to_bytes(4, "little")
 
 
@@ -130,62 +131,115 @@ class Files(InputPartition):
         super().__init__(self.names)
 
 
-class _Stream:
+class _Ahead:
+    """Bytes that were read but not taken, as a list of parts: what is added or taken costs its own length only."""
+
+    def __init__(self) -> None:
+        self.parts: deque[bytes] = deque()
+        self.size = self.begin = 0  # bytes that are left, and where they begin in the first part
+
+    def _more(self, n: int) -> bytes:
+        """The next bytes of the source, about n; none at its end."""
+        raise NotImplementedError
+
+    def add(self, data: bytes) -> None:
+        if data:
+            self.parts.append(data)
+            self.size += len(data)
+
+    def put_back(self, data: bytes) -> None:
+        if data:
+            if self.begin:
+                self.parts[0], self.begin = self.parts[0][self.begin :], 0
+            self.parts.appendleft(data)
+            self.size += len(data)
+
+    def peek(self, n: int) -> bytes:
+        """The next n bytes, or as many as there are, which stay ahead."""
+        while self.size < n and (got := self._more(n - self.size)):
+            self.add(got)
+        if self.parts and len(self.parts[0]) - self.begin >= n:
+            return self.parts[0][self.begin : self.begin + n]
+        self.put_back(out := self._cut(n))
+        return out
+
+    def _cut(self, n: int) -> bytes:
+        out, left = [], min(n, self.size)
+        self.size -= left
+        while left:
+            part = self.parts[0]
+            got = part[self.begin : self.begin + left] if self.begin or left < len(part) else part
+            out.append(got)
+            left -= len(got)
+            self.begin += len(got)
+            if self.begin == len(part):
+                self.parts.popleft()
+                self.begin = 0
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def take(self, n: int) -> bytes:
+        while self.size < n and (got := self._more(n - self.size)):
+            self.add(got)
+        return self._cut(n)
+
+    def drop(self) -> None:
+        self.parts.clear()
+        self.size = self.begin = 0
+
+    def skip(self, n: int) -> None:
+        while n > 0 and (got := len(self.take(min(n, 1 << 18)))):
+            n -= got
+
+
+class _Stream(_Ahead):
     """A file read forward in blocks, with what is ahead looked at before it is taken."""
 
     def __init__(self, file: pa.NativeFile, block: int = 1 << 18):
-        self.file, self.block, self.ahead, self.end = file, block, b"", False
-
-    def fill(self, n: int) -> bytes:
-        while len(self.ahead) < n and not self.end:
-            got = self.file.read(max(self.block, n - len(self.ahead)))
-            self.end = not got
-            self.ahead += got
-        return self.ahead
+        super().__init__()
+        self.file, self.block = file, block
 
-    def take(self, n: int) -> bytes:
-        data, self.ahead = self.fill(n)[:n], self.ahead[n:]
-        return data
+    def _more(self, n: int) -> bytes:
+        return self.file.read(max(self.block, n))
 
     def skip(self, n: int) -> None:
-        if n <= len(self.ahead):
-            self.ahead = self.ahead[n:]
+        if n <= self.size:
+            self._cut(n)
         else:
-            self.file.seek(self.file.tell() + n - len(self.ahead))
-            self.ahead = b""
+            self.file.seek(self.file.tell() + n - self.size)
+            self.drop()
 
 
-class _Inflated:
+class _Inflated(_Ahead):
     """The content of one gzip member, with the same methods."""
 
-    def __init__(self, source: _Stream):
-        self.source, self.z, self.ahead = source, zlib.decompressobj(31), b""
-
-    def fill(self, n: int) -> bytes:
-        while len(self.ahead) < n and not self.z.eof:
-            more = self.z.unconsumed_tail or self.source.take(len(self.source.fill(1)))
-            if not more:
+    def __init__(self, source: _Stream, length: int = 0):
+        super().__init__()
+        self.source, self.z, self.left = source, zlib.decompressobj(31), length or 1 << 62  # bytes of the member that are not taken
+
+    def _more(self, n: int) -> bytes:
+        out = b""
+        while not out and not self.z.eof:
+            if not (packed := self.z.unconsumed_tail):
+                self.source.peek(1)
+                packed = self.source.take(min(self.left, self.source.size, 1 << 16))
+                self.left -= len(packed)
+            if not packed:
                 break
-            self.ahead += self.z.decompress(more, max(1 << 14, n - len(self.ahead)))
-        return self.ahead
-
-    take = _Stream.take
-
-    def skip(self, n: int) -> None:
-        while n > 0 and (got := len(self.take(min(n, 1 << 18)))):
-            n -= got
+            out = self.z.decompress(packed, max(1 << 16, min(n, 1 << 20)))
+        return out
 
     def finish(self) -> None:
-        while not self.z.eof and self.take(1 << 18):
+        self.drop()
+        while self._more(1 << 18):
             pass
-        self.source.ahead = self.z.unused_data + self.source.ahead
+        self.source.put_back(self.z.unused_data)
 
 
 def _head(source: _Stream | _Inflated) -> dict[str, str] | None:
     """The headers of the record that comes next, names in lower case; None at the end."""
     n = 1 << 10
-    while (at := source.fill(n).find(b"\r\n\r\n")) < 0:
-        if len(source.ahead) < n:
+    while (at := (ahead := source.peek(n)).find(b"\r\n\r\n")) < 0:
+        if len(ahead) < n:
             return None
         n *= 2
     lines = source.take(at + 4).decode("utf-8", "replace").split("\r\n")
@@ -207,21 +261,15 @@ def _body(head: dict[str, str], source: _Stream | _Inflated, mode: str) -> tuple
 def _records(file: pa.NativeFile, wanted: list[tuple[str, str, tuple]], mode: str) -> Iterator[tuple]:
     source = _Stream(file)
     passes = lambda h: all(any((h.get(k) or "").startswith(v) for v in vs) if how == "starts" else h.get(k) in vs for k, how, vs in wanted)
-    while start := source.fill(24)[:24]:
+    while start := source.peek(24):
         if start[:2] == b"\x1f\x8b":
             total = int.from_bytes(start[16:20], "little") if start[3] & 4 and start[12:14] == b"sl" else 0
-            member = source
-            if total:  # a window on the member, so that the rest can be skipped
-                inside = _Inflated(member := _Stream(file, 1 << 14))
-                member.ahead, position = source.ahead, file.tell() - len(source.ahead)
-            else:
-                inside = _Inflated(source)
+            inside = _Inflated(source, total)
             head = _head(inside)
             if head is not None and passes(head):
                 yield (*(head.get(h) for h in ("warc-record-id", "warc-type", "warc-target-uri", "warc-date", "warc-refers-to")), *_body(head, inside, mode))
             if total:
-                source.ahead = member.ahead = b""
-                file.seek(position + total)
+                source.skip(inside.left)
             else:
                 inside.finish()
         else:
@@ -320,7 +368,7 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     copies = pages.where(F.length("payload") >= REVISIT_FROM).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     copies = small(written(copies, "copies"))
     marked = pages.join(copies, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
+    name = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">")), F.lit("<urn:page>"))
     marked.select(
         name("id").alias("record_id"), F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), "target_uri",
         F.when(F.col("revisit"), name("first")).alias("refers_to"), F.when(~F.col("revisit"), F.col("payload")).alias("payload"),
@@ -335,10 +383,16 @@ def _base32(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Writes the pages to an archive in the shared folder and reads it back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes the pages to an archive in the shared folder and reads it back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Responses are read with their payloads' digests and revisits by their headers alone; either filter is pushed
+    down. A null id stays null, null html is the empty payload, repeated rows are records of their own, an empty
+    table is an empty archive, and other columns are not looked at. Ids keep their type.
+    """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_pages(pages, path)
-    back = spark.read.format("warc").option("payload", "digest").load(path)
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
-    return back.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    load = lambda kind, mode: spark.read.format("warc").option("payload", mode).load(path).where(F.col("record_type") == kind)
+    back = load("response", "digest").unionByName(load("revisit", "none"))
+    named = lambda c: F.nullif(F.regexp_extract(c, r"(?s)^<urn:page:(.*)>$", 1), F.lit("")).try_cast(pages.schema["page_id"].dataType)
+    return back.select(named("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", named("refers_to").alias("refers_to"))

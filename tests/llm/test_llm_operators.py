@@ -367,6 +367,24 @@ def test_warc(spark, tmp_path):
     assert load().where("record_type = 'revisit'").count() == 2 and load().where("target_uri like 'http://b%'").count() == 2
     assert load().where("record_id = '<urn:page:5>'").first().payload == "<p>é</p>".encode()
     assert warc.archived(df.limit(0)).count() == 0
+    named = spark.createDataFrame([("a b", "u", "x"), ("c", "u", "x"), (None, "u", "y")], "page_id string, url string, html string")
+    assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.archived(named).collect()) == [("None", "response", "None"), ("a b", "revisit", "c"), ("c", "response", "None")]
+
+
+def test_warc_of_a_large_payload(tmp_path):
+    """200 MB of payload take time in proportion, compressed with and without the length, and plain; the next record is found."""
+    import gzip
+
+    import pyarrow.fs as pafs
+
+    data = warc.record("<urn:page:1>", "response", "u", None, None, os.urandom(1 << 20) * 200)
+    last = warc.record("<urn:page:2>", "response", "u", None, None, b"z")
+    for pack in (warc.gzip_member, lambda d: gzip.compress(d, 1), lambda d: d):
+        (tmp_path / "x.warc").write_bytes(pack(data) + pack(last))
+        began = time.process_time()
+        with pafs.LocalFileSystem().open_input_file(str(tmp_path / "x.warc")) as f:
+            assert [(r[0], r[5]) for r in warc._records(f, [], "digest")] == [("<urn:page:1>", 200 << 20), ("<urn:page:2>", 1)]
+        assert time.process_time() - began < 20
 
 
 def test_foreign_archives(spark, tmp_path):
