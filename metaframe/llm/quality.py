@@ -1,13 +1,12 @@
 """Quality rules: counts of one document, and how often its lines occur in other documents of its host.
 
 DataFrame functions only. Lines are normalised (white space runs to one space, trimmed, lower case, digits to
-0) and hashed. For each host, the documents that hold a line are counted; a line above the host's limit is
-removed, and a document of which too little remains is rejected. For a line, a document is
-counted by a MinHash of its other lines, so copies and near copies of one text count about once and do not
-make their own lines frequent.
+0) and hashed. For each host, the distinct documents that hold a line are counted, equal texts as one; a line
+above the host's limit is removed, and a document of which too little remains is rejected.
 
-Row-level work is arrays within a row; only hashes of lines are shuffled, pre-aggregated, and the hot hosts
-and lines never meet in one task.
+Row-level work is arrays within a row. Hashes of lines are counted with partial sums, so the holders of a hot line
+are no single task; the lines above a limit are broadcast after a check of their size (a hundred a host and line of
+an average document at most), and what they remove is joined back by row.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaframe.llm.shared import written
+from metaframe.llm.shared import small, written
 
 WINDOW = 5
 #: A line is removed when more than LIMIT of its host's distinct documents hold it, and at least LEAST.
@@ -49,10 +48,11 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lines.alias("_lines"),
     )
     docs = docs.select("*", _n("_w").alias("_n_words"), (_n("_lines") - _n(F.array_distinct("_lines"))).alias("_n_dup_lines"))
-    wide = F.greatest(F.size("_w") - (WINDOW - 1), F.lit(0))
-    a, b, c, d, e = (F.slice("_w", F.lit(i + 1), wide) for i in range(WINDOW))
     pair = lambda x, y: F.zip_with(x, y, lambda p, q: F.xxhash64(p, q))
-    docs = docs.withColumn("_h", pair(pair(pair(a, b), pair(c, d)), e)).drop("_w")
+    part = lambda c, start, less: F.slice(c, F.lit(start), F.greatest(F.size("_w") - less, F.lit(0)))
+    docs = docs.withColumn("_two", pair(part("_w", 1, 1), part("_w", 2, 1)))
+    docs = docs.withColumn("_four", pair(part("_two", 1, 3), part("_two", 3, 3))).drop("_two")
+    docs = docs.withColumn("_h", pair(part("_four", 1, WINDOW - 1), part("_w", WINDOW, WINDOW - 1))).drop("_w", "_four")
     placed = F.when(F.size("_h") > F.size(F.array_distinct("_h")), F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
     docs = docs.withColumn("_s", placed).drop("_h")
     rest = F.size("_s") - 1
@@ -73,22 +73,18 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"), F.col(text_col).alias("_text"))
     normal = lambda x: F.translate(F.lower(F.trim(F.regexp_replace(x, _WHITE, " "))), "123456789", "000000000")
-    line = lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.md5(normal(x).cast("binary")).alias("sign"), F.size(F.split(F.trim(F.regexp_replace(x, _WHITE, " ")), " ")).cast("long").alias("words"))
-    base = counts(docs, "_text").withColumn("_l", F.transform("_lines", line))
-    base = base.withColumn("_least", F.slice(F.sort_array(F.array_distinct(F.transform("_l", lambda x: x.sign))), 1, 2))
-    first, second = F.get("_least", F.lit(0)), F.coalesce(F.get("_least", F.lit(1)), F.get("_least", F.lit(0)))
-    own = F.transform("_l", lambda x: F.struct(x.line, x.words, F.xxhash64(F.when(x.sign == first, second).otherwise(first)).alias("mark")))
-    base = base.select(
-        "_id", "_host", F.xxhash64(F.coalesce("_text", F.lit("")), F.lit(0)).alias("_content"), own.alias("_own"),
+    line = lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.size(F.split(F.trim(F.regexp_replace(x, _WHITE, " ")), " ")).cast("long").alias("words"))
+    base = counts(docs, "_text").select(
+        F.monotonically_increasing_id().alias("_row"), "_id", "_host", F.xxhash64(F.coalesce("_text", F.lit("")), F.lit(0)).alias("_content"), F.transform("_lines", line).alias("_own"),
         *[f"_{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
     )
     base = written(base, "quality")
-    texts = base.select("_host", "_content", "_own").dropDuplicates(["_host", "_content"])
-    hosts = texts.groupBy("_host").agg(F.greatest(F.lit(LEAST - 1), F.floor(LIMIT * F.count("*"))).alias("limit"))
-    lines = texts.select("_host", "_content", F.explode("_own").alias("x")).select("_host", "_content", "x.line", "x.words", "x.mark")
-    holders = lines.select("_host", "line", "mark").distinct().groupBy("_host", "line").agg(F.count("*").alias("n"))
-    frequent = holders.where(F.col("n") >= LEAST).join(hosts, "_host").where("n > limit").select("_host", "line")
-    removed = lines.join(frequent, ["_host", "line"]).groupBy("_host", "_content").agg(F.sum("words").alias("_removed"))
-    out = base.drop("_own").join(removed, ["_host", "_content"], "left").withColumn("_removed", F.coalesce("_removed", F.lit(0).cast("long")))
+    firsts = base.groupBy("_host", "_content").agg(F.min("_row").alias("_row"))
+    texts = base.join(firsts.select("_row"), "_row", "left_semi")
+    hosts = firsts.groupBy("_host").agg(F.greatest(F.lit(LEAST - 1), F.floor(LIMIT * F.count("*"))).alias("limit"))
+    holders = texts.select("_host", F.explode(F.array_distinct(F.transform("_own", lambda x: x.line))).alias("line")).groupBy("_host", "line").agg(F.count("*").alias("n"))
+    frequent = small(written(holders.where(F.col("n") >= LEAST).join(hosts, "_host").where("n > limit").select("_host", "line"), "frequent"))
+    removed = base.select("_row", "_host", F.explode("_own").alias("x")).select("_row", "_host", "x.line", "x.words").join(frequent, ["_host", "line"]).groupBy("_row").agg(F.sum("words").alias("_removed"))
+    out = base.drop("_own").join(removed, "_row", "left").withColumn("_removed", F.coalesce("_removed", F.lit(0).cast("long")))
     kept = ~F.col("_base_failed") & (F.col("_n_words") - F.col("_removed") >= F.lit(REMAINS) * F.col("_n_words"))
     return out.select(F.col("_id").alias(id_col), *[F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], kept.alias("kept"), F.col("_removed").alias("n_removed_words"))

@@ -51,9 +51,8 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw GROUP BY 1)
 lines AS MATERIALIZED (
   SELECT doc_id, host, text, translate(lower(l), '123456789', '000000000') AS line, len(string_split(l, ' ')) AS words
   FROM (SELECT doc_id, host, text, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS l FROM raw)),
-least AS (SELECT doc_id, list_sort(list_distinct(list(md5(line))))[1:2] AS m FROM lines GROUP BY 1),
 hosts AS (SELECT host, greatest(9, floor(0.01 * count(DISTINCT text))) AS cap FROM d GROUP BY 1),
-frequent AS (SELECT host, line FROM lines JOIN least USING (doc_id) JOIN hosts USING (host) GROUP BY host, line, cap HAVING count(DISTINCT CASE WHEN md5(line) = m[1] THEN coalesce(m[2], m[1]) ELSE m[1] END) > cap),
+frequent AS (SELECT host, line FROM lines JOIN hosts USING (host) GROUP BY host, line, cap HAVING count(DISTINCT text) > cap),
 removed AS (SELECT doc_id, sum(words) AS n FROM lines JOIN frequent USING (host, line) GROUP BY 1),
 base AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(length(array_to_string(ws, '')), 0)::BIGINT AS word_chars,

@@ -350,6 +350,16 @@ def test_quality(spark):
     assert quality.quality(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_quality_counts_documents_that_share_several_lines(spark):
+    """60 distinct documents of 200 share 12 lines: these are the host's, though each document has 11 others of them; copies count once."""
+    shared = [" ".join(prose(700 + i, 8)) for i in range(12)]
+    texts = ["\n".join([*shared, " ".join(prose(i, 20))]) for i in range(60)] + [" ".join(prose(1000 + i, 40)) for i in range(139)]
+    copy = "\n".join(" ".join(prose(5000 + i, 20)) for i in range(3))
+    rows = {r.doc_id: r for r in quality.quality(frame(spark, [*texts, *[copy] * 30])).collect()}
+    assert all(rows[i].n_removed_words == 96 and not rows[i].kept for i in range(60))
+    assert all(rows[i].n_removed_words == 0 and rows[i].kept for i in range(60, 229))
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a/x y", "<p>é</p>"), (5, None, "<p>é</p>"), (2, "http://b", None), (9, "http://b\r\nX: y", ""), (7, "u", "a\r\n\r\nb"), (7, "u", "a\r\n\r\nb"), (None, "n", "z")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, digest int")
