@@ -11,6 +11,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from metaframe.llm import chat, decontaminate, html_extract, line_dedup, lm, ngram_join, packing, quality, toxicity, warc
@@ -295,42 +297,50 @@ def test_language_model(spark, sf):
 
 
 def test_interpolation_is_a_distribution():
-    weights = lm.learn_weights(np.array([0, 0, 3]), np.array([0.5, 0.0, 0.0]), np.array([0.1, 0.1, 0.0]), np.array([9.0, 1.0, 4.0]), 10)
-    assert np.allclose(weights.sum(axis=1), 1) and weights[0, 0] > 0.5 and weights[3, 2] > 0.9
+    weights = lm.learn_weights(np.array([0, 0, 3, 5]), np.array([0.5, 0.0, 0.5, 0.0]), np.array([0.1, 0.1, 0.1, 0.0]), np.array([9.0, 1.0, 9.0, 4.0]), 10)
+    assert np.allclose(weights.sum(axis=1), 1) and weights[0, 0] == 0 and weights[3, 0] > 0.5 and weights[5, 2] > 0.9
 
 
-def test_language_model_with_rare_words(spark, sf, monkeypatch):
-    """The join for rare words gives what the broadcast of all words gives."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
-    every = {r.doc_id: (r.n_known, r.base_score) for r in lm.lm_scores(docs).collect()}
-    monkeypatch.setattr(lm, "FREQUENT", 1e-3)
-    for r in lm.lm_scores(docs).collect():
-        assert r.n_known == every[r.doc_id][0] and r.base_score == pytest.approx(every[r.doc_id][1])
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 1 << 45), max_size=9), max_size=4))
+def test_packed_arrays(lists):
+    back = lm.unpack(lm.pack(*(np.array(x, dtype=np.int64) for x in lists), np.array([0.5, -2.25])))
+    assert [x.tolist() for x in back] == [*lists, [0.5, -2.25]]
 
 
-@pytest.mark.parametrize("frequent", [4e-7, 1e-3])
-def test_language_model_has_every_pair(spark, sf, monkeypatch, frequent):
-    """Scores by the formula over all pairs, where nearly every pair (and, the second time, word and context) comes by a join."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
-    kept, learn, unit = [], lm.learn_weights, lm.FREQUENT  # workers have the module's own value, by which buckets go
-    monkeypatch.setattr(lm, "learn_weights", lambda *a: kept.append(learn(*a)) or kept[-1])
-    monkeypatch.setattr(lm, "FREQUENT", frequent)
-    monkeypatch.setattr(lm, "PAIRS", 1e-3)
-    got = {r.doc_id: r.score for r in lm.lm_scores(docs).collect()}
-    texts = {i: [*words(t), None] for i, t in docs.collect()}
+def brute_force_model(texts, weights):
+    """log10 P(w | h) from counts of Python; the vocabulary; contexts in question."""
     train = [ws for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
     one = collections.Counter(w for ws in train for w in ws)
     two = collections.Counter(x for ws in train for x in zip(["<s>", *ws], ws))
     n, v, context = sum(one.values()), len(one), one | collections.Counter({"<s>": len(train)})
 
     def p(h, w):
-        total = context[h] if h == "<s>" or one[h] >= max(1, frequent * n) else 0
-        b = 1 if h == "<s>" else min(lm.BUCKETS - 1, max(0, 2 + math.floor(math.log2(total / (unit * n))))) if total else 0
-        return math.log10(kept[-1][b] @ [two[h, w] / max(context[h], 1), one[w] / n, 1 / (v + 1)])
+        b = 0 if not context[h] else 1 if h == "<s>" else 2 + min(lm.BUCKETS - 3, max(0, math.floor(math.log2(context[h] / n)) + 22))
+        return weights[b] @ [two[h, w] / max(context[h], 1), one[w] / n, 1 / (v + 1)]
+
+    return p, one, context
 
-    assert sum(c < 1e-3 * n for c in two.values()) > 0.9 * len(two)
+
+@pytest.mark.parametrize(("many", "hot", "bucket"), [(1 << 20, 2e-5, 2_000_000), (300, 2e-3, 5_000), (20, 1.0, 20_000)])
+def test_language_model_equals_brute_force(spark, sf, monkeypatch, many, hot, bucket):
+    """Scores by the formula over all pairs: with all words frequent; and with most of them rare, few hot pairs, and many buckets."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.unionByName(frame(spark, [*AWKWARD, "never seen before these words zq zq"], [5000 + i for i in range(len(AWKWARD) + 1)]).select("doc_id", "text")).repartition(3)
+    kept, learn = [], lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda *a: kept.append(learn(*a)) or kept[-1])
+    monkeypatch.setattr(lm, "WORDS", many)
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "BUCKET", bucket)
+    got = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
+    texts = {i: [*words(t), None] for i, t in docs.collect()}
+    p, one, context = brute_force_model(texts, kept[-1])
+    n, v = sum(one.values()), len(one)
     for i, ws in texts.items():
-        assert got[i] == pytest.approx(sum(map(p, ["<s>", *ws], ws)))
+        assert got[i].score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["<s>", *ws], ws)), rel=1e-5)
+        assert got[i].base_score == pytest.approx(sum(math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) and got[i].n_known == sum(one[w] > 0 for w in ws)
+    for h in ["<s>", "no such word", *list(one)[:40]]:
+        assert sum(p(h, w) for w in [*one, "the unknown word"]) == pytest.approx(1, abs=1e-9)
 
 
 def test_quality(spark):
