@@ -2,13 +2,15 @@
 
 Words get symbols: INSULT and THREAT from a weighted lexicon, and TARGET, NEGATION, REPORT, MODAL and BOUNDARY
 from closed word lists; all else is OTHER. Small transducers read a clause's symbols: each says of a match
-whether it is aimed at someone, negated, reported speech, or a threat. Their composition runs once over each
-clause that has a match, so clauses are scored, not isolated words: a logistic weight for each kind of
-match, learned from labels, makes the score.
-
-The lexicon holds a few seed words and stems learned from labelled texts by sequential covering: the stem that
-explains most of the toxic texts not yet explained, with the fewest clean ones, again and again. Fitting uses a
-bounded sample of the labelled rows (SAMPLE of each class); scoring reads every whole text.
+whether it is aimed at someone, negated, reported speech, or intended. Their composition runs over each clause that
+has a match, so clauses are scored, not isolated words: a clause counts by its heaviest stem, however often that
+occurs in it, and a logistic weight for each kind of clause, learned from labels, makes the score.
+
+The lexicon holds a few seed words and learned stems: all beginnings of words whose documents are toxic far more
+often than others, each with its log odds; a word has the weight of its longest stem. A learned stem is a threat if
+most of the toxic documents that have it have it after a modal word, else an insult. Many weak stems together tell of
+languages with few examples. Fitting uses a bounded sample of the labelled rows (SAMPLE of each class), counted on
+the executors; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import functions as F
 from metaframe.llm.kernels import BYTE_VALUES, NOT_ALNUM, Texts, Words, batches, byte_class, span_hashes
 
 #: Most labelled rows of each class that fitting reads, chosen by the hash of their ids.
-SAMPLE = 2000
+SAMPLE = 5000
 THRESHOLD = 0.3
 #: Words of a clause that are read on either side of a match.
 REACH = 12
-#: Stems in characters, and most stems that are learned.
-STEM, MOST_STEMS = (4, 12), 500
+#: Stems in characters; the fewest toxic documents of a learned one, its least odds (of classes of one size), and the least product of documents and log odds.
+STEM, SUPPORT, ODDS, GAIN = (4, 12), 4, 6.0, 15.0
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, MODAL, BOUNDARY = range(8)
 
@@ -91,8 +93,9 @@ class Composed:
         return out
 
 
-FEATURES = ("matched", "weight", "plain", "aimed", "negated", "reported", "threat", "intended")
-_DEFAULT = np.array([-3.0, 2.0, 0.3, 0.5, 0.7, -0.4, -0.4, 0.5, 1.0])
+#: Of a document: whether any clause matches, the heaviest clause, and the clauses; then, in weights, all clauses and those of each kind.
+FEATURES = ("matched", "strongest", "clauses", "total", "plain", "aimed", "negated", "reported", "threat", "intended")
+_DEFAULT = np.array([-3.0, 1.5, 0.4, 0.3, 0.3, 0.3, 0.5, -0.6, -0.6, 0.3, 0.8])
 
 
 def _utf8(word: str) -> np.ndarray:
@@ -154,6 +157,7 @@ class Grammar:
             return out
         breaks = np.concatenate(([0], np.cumsum(_BREAKS[words.data])))
         docs = np.searchsorted(words.first, matches, "right") - 1
+        clauses: dict[tuple[int, int], np.ndarray] = {}
         for m, d in zip(matches.tolist(), docs.tolist(), strict=True):
             lo = max(int(words.first[d]), m - REACH)
             seq: list[int] = []
@@ -166,10 +170,15 @@ class Grammar:
                 hi = min(int(words.first[d + 1]), m + 4)
                 after = [i for i in range(m + 1, hi) if breaks[words.starts[i]] == breaks[words.ends[m]]]
                 aimed = int(any(symbol[i] == TARGET for i in after))
+            said = weight[m] * np.array([1, not (aimed or negated or reported), aimed, negated, reported, kind == THREAT, intended])
+            key = d, int(breaks[words.starts[m]])
+            clauses[key] = np.maximum(clauses[key], said) if key in clauses else said
+        for (d, _), said in clauses.items():
             row = out[d]
             row[0] = 1
-            row[1] = max(row[1], weight[m])
-            row[2:] += (not (aimed or negated or reported), aimed, negated, reported, kind == THREAT, intended)
+            row[1] = max(row[1], said[0])
+            row[2] += 1
+            row[3:] += said
         out[:, 2:] = np.log1p(out[:, 2:])
         return out
 
@@ -189,56 +198,30 @@ def latin_words(texts: Texts) -> Words:
     return Words(data, words.starts, words.ends, words.first)
 
 
-def _vocabularies(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's distinct words."""
+def _stem_counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stems of a batch with the toxic and the clean documents that have them, and the toxic ones that have them after a modal word."""
+    modal = set(LISTS[MODAL])
     for batch in batches(stream, 1 << 20):
-        w = latin_words(Texts(batch.column(2)))
-        own = [sorted({w.data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(w.starts[a:b], w.ends[a:b], strict=True) if e - s >= STEM[0]}) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.string()))], names=["toxic", "weight", "words"])
-
-
-def learn_stems(toxic: np.ndarray, bags: list[list[str]]) -> dict[str, tuple[int, float]]:
-    """Stems that tell toxic texts from clean ones, by sequential covering."""
-    wanted = {w for t, bag in zip(toxic, bags, strict=True) if t for w in bag}
-    stems: dict[str, int] = {}
-    of = {w: np.array(sorted({stems.setdefault(w[:n], len(stems)) for n in {*range(STEM[0], min(len(w), STEM[1]) + 1)}}), dtype=np.int64) for w in sorted(wanted)}
-    none = np.zeros(0, np.int64)
-    clean = np.zeros(len(stems), dtype=np.int64)
-    rows = []
-    for t, bag in zip(toxic, bags, strict=True):
-        own = [of[w] for w in bag if w in of]
-        own = np.unique(np.concatenate(own)) if own else none
-        if t:
-            rows.append(own)
-        else:
-            clean[own] += 1
-    n_toxic, n_clean = len(rows), len(toxic) - len(rows)
-    if not n_toxic or not n_clean:
-        return {}
-    left = np.bincount(np.concatenate(rows), minlength=len(stems)) if rows else clean * 0
-    names = list(stems)
-    length = np.array([len(s) for s in names])
-    base = n_clean / n_toxic
-    out: dict[str, tuple[int, float]] = {}
-    open_rows = np.ones(n_toxic, dtype=bool)
-    containing: dict[int, list[int]] = {}
-    for i, own in enumerate(rows):
-        for f in own.tolist():
-            containing.setdefault(f, []).append(i)
-    while len(out) < MOST_STEMS:
-        odds = (left + 0.01) / (clean + 0.5) * base  # both classes count as if equally frequent
-        gain = np.where((left >= 5) & (odds > 6), left * np.log(np.maximum(odds, 1e-9)), 0)
-        best = gain.max(initial=0)
-        if best < 15:
-            break
-        close = np.flatnonzero(gain >= 0.97 * best)  # about as good: the longest is the least likely to meet other words
-        pick = int(close[np.lexsort((-gain[close], -length[close]))[0]])
-        out[names[pick]] = INSULT, float(min(8, np.log((left[pick] + 0.5) / (clean[pick] + 0.5) * base)))
-        for i in containing[pick]:
-            if open_rows[i]:
-                open_rows[i] = False
-                left[rows[i]] -= 1
-    return out
+        w = latin_words(Texts(batch.column(1)))
+        counts: dict[str, list[int]] = {}
+        for toxic, a, b in zip(batch.column(0).to_pylist(), w.first[:-1], w.first[1:], strict=True):
+            own = [w.data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(w.starts[a:b], w.ends[a:b], strict=True)]
+            stems = lambda words: {x[:n] for x in words for n in range(STEM[0], min(len(x), STEM[1]) + 1)}
+            intended = stems({x for i, x in enumerate(own) if modal.intersection(own[max(0, i - 2) : i])}) if toxic else set()
+            for stem in stems(set(own)):
+                n = counts.setdefault(stem, [0, 0, 0])
+                n[0 if toxic else 1] += 1
+                n[2] += stem in intended
+        yield pa.record_batch([pa.array(list(counts), pa.string()), *(pa.array([n[i] for n in counts.values()], pa.int64()) for i in range(3))], names=["stem", "toxic", "clean", "intended"])
+
+
+def learned_stems(sampled: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tuple[int, float]]:
+    """Stems of toxic documents (columns toxic and text), with their kinds and weights; of a stem and a longer one in just the same documents, the longer."""
+    counts = sampled.mapInArrow(_stem_counts, "stem string, toxic long, clean long, intended long").groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "intended")))
+    odds = (F.col("toxic") + 0.01) / (F.col("clean") + 0.5) * F.lit(n_clean / n_toxic)
+    found = counts.where(F.col("toxic") >= SUPPORT).withColumn("odds", odds).where((F.col("odds") > ODDS) & (F.col("toxic") * F.log("odds") >= GAIN)).collect()  # of the sample's toxic documents
+    same = {(r.stem[:-1], r.toxic, r.clean) for r in found}
+    return {r.stem: (THREAT if 2 * r.intended > r.toxic else INSULT, float(min(8, np.log(r.odds)))) for r in sorted(found, key=lambda r: r.stem) if (r.stem, r.toxic, r.clean) not in same}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -269,10 +252,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = rows.where(F.when(F.col("_toxic") == 1, at < int(share[1] * 1e6)).otherwise(at < int(share[0] * 1e6))).dropDuplicates(["_id"])
     sample = sample.withColumn("_weight", F.when(F.col("_toxic") == 1, 1 / share[1]).otherwise(1 / share[0]))
     sampled = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id").select("_toxic", "_weight", "text")  # some 2 * SAMPLE ids
-    got = sampled.mapInArrow(_vocabularies, "toxic int, weight double, words array<string>").toArrow()
     grammar = Grammar()
-    stems = learn_stems(got["toxic"].to_numpy(), [x or [] for x in got["words"].to_pylist()])
-    grammar = Grammar({**grammar.stems, **stems})
+    size = {k: max(1.0, n * share[k]) for k, n in counts.items()}
+    grammar = Grammar({**grammar.stems, **learned_stems(sampled.select(F.col("_toxic").alias("toxic"), "text"), size[1], size[0])})
 
     def described(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, 1 << 20):
@@ -290,7 +272,7 @@ def scored(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFra
     """A struct `row` of each document's columns, and its `score` from 0 to 1.
 
     Every whole text is scored. Null and empty texts have no match, and so the score of a text without any.
-    Repeated rows are scored alike; other columns are never read, and may have any name.
+    Repeated rows are scored alike; an empty table gives none; other columns are never read, and may have any name.
     """
 
     def score(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

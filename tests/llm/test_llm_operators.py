@@ -525,11 +525,71 @@ def test_toxicity(spark, sf):
     assert scores[0] > toxicity.THRESHOLD > scores[2]
 
 
+def test_transducers_equal_brute_force():
+    """The composed machine's outputs against plain rules on each match's symbols before it."""
+    t, r = toxicity, random.Random(3)
+    machine = t.Composed()
+    for _ in range(3000):
+        symbols = [r.randrange(8) for _ in range(r.randrange(1, 15))]
+
+        def near(at, cue, reach, lasting=False, symbols=symbols):
+            for back in range(1, reach + 1):
+                if at - back < 0 or symbols[at - back] == t.BOUNDARY and not lasting:
+                    return 0
+                if symbols[at - back] == cue:
+                    return 1
+            return 0
+
+        expected = [
+            (x, near(i, t.TARGET, 4), near(i, t.NEGATION, 3), near(i, t.REPORT, 8, True), near(i, t.MODAL, 2) if x == t.THREAT else 0)
+            for i, x in enumerate(symbols) if x in (t.INSULT, t.THREAT)
+        ]
+        assert machine.run(symbols) == expected
+
+
+def test_toxicity_learns_clauses_and_threats(spark):
+    """Where clean documents deny or report the words of toxic ones, clauses decide: held-out F1 with them and without; threats are learned by their place."""
+    r = random.Random(8)
+    bad, harm, calm = ["idiot", "moron", "clown"], ["quench you", "quench them"], ["table", "river", "engine", "window", "garden"]
+    fill = lambda: " ".join(r.choice(calm) for _ in range(r.randrange(3, 9)))
+    toxic = lambda: r.choice([f"you are a {r.choice(bad)}", f"they all are {r.choice(bad)}s", f"we will {r.choice(harm)}", f"gonna {r.choice(harm)}"])
+    clean = lambda: r.choice([f"nobody is a {r.choice(bad)}", f"it is not {r.choice(bad)}", f"the paper quoted a {r.choice(bad)}", f"a critic wrote of {r.choice(bad)}s", fill()])
+    rows = [(i, f"{fill()}. {toxic() if i % 2 else clean()}. {fill()}.", i % 2) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    assert grammar.stems["quench"][0] == toxicity.THREAT and grammar.stems["idiot"][0] == toxicity.INSULT
+
+    def f1(g):
+        held = {r.doc_id for r in docs.where(toxicity.held_out("doc_id")).select("doc_id").collect()}
+        own = [x for x in rows if x[0] in held]
+        said = g.scores(toxicity.Texts(pa.array([x[1] for x in own]))) >= 0.5
+        truth = np.array([x[2] for x in own], bool)
+        return 2 * (said & truth).sum() / (said.sum() + truth.sum())
+
+    blind = toxicity.fit_logistic(*ablated(grammar, rows))
+    without = toxicity.Grammar(grammar.stems, np.concatenate([blind, np.zeros(len(toxicity.FEATURES) - 4)]))
+    assert f1(grammar) > 0.97 and f1(grammar) > f1(without) + 0.1
+
+
+def ablated(grammar, rows):
+    """Features that know stems and their weights, but nothing of clauses' kinds."""
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows]
+    own = [x for x, h in zip(rows, held, strict=True) if not h]
+    x = grammar.features(toxicity.Texts(pa.array([t for _, t, _ in own])))[:, :4]
+    return x, np.array([float(t) for _, _, t in own]), np.ones(len(own))
+
+
 def test_toxicity_held_out(spark):
-    """On labels that were held out, at the size where enough examples are there to learn from."""
+    """On labels that were held out, at the size where enough examples are there to learn from: recall, false alarms, and recall by language."""
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     held = labels.where(toxicity.held_out("doc_id"))
-    got = toxicity.scored(docs.join(held, "doc_id"), toxicity.fit(docs, labels)).select("row.toxic", "score").collect()
-    hits = [r.toxic for r in got if r.score >= toxicity.THRESHOLD]
-    assert sum(hits) >= 0.95 * len(hits) and sum(hits) >= 0.75 * sum(r.toxic for r in got)
+    got = toxicity.scored(docs.join(held, "doc_id"), toxicity.fit(docs, labels)).select("row.toxic", "row.lang", "score").collect()
+    found, toxic = collections.Counter(), collections.Counter()
+    for r in got:
+        toxic[r.lang] += r.toxic
+        found[r.lang] += r.toxic and r.score >= toxicity.THRESHOLD
+    false = sum(not r.toxic and r.score >= toxicity.THRESHOLD for r in got)
+    print(dict(found), dict(toxic), false, sum(not r.toxic for r in got))
+    assert sum(found.values()) >= 0.9 * sum(toxic.values()) and false <= 0.02 * len(got)
+    assert all(found[k] >= 0.85 * toxic[k] for k in toxic)
