@@ -42,7 +42,7 @@ WORDS = 1 << 20
 #: Relative frequency from which a pair is hot: it may be from half of that on.
 HOT = 2e-5
 #: Tokens that a scan aggregates at once, and tokens of a bucket.
-BLOCK, BUCKET = 1_500_000, 2_000_000
+BLOCK, BUCKET = 600_000, 1_000_000
 BUCKETS = 24
 END, START = U64(0xE17D), U64(0x57A27)
 TRAIN, HELD, TEST = 0, 1, 2
@@ -93,6 +93,7 @@ def _blocks(stream: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[Tok
         if size >= BLOCK:
             yield Tokens([b.column(column) for b in held]), held
             held, size = [], 0
+            trim()
     if held:
         yield Tokens([b.column(column) for b in held]), held
     trim()
@@ -370,6 +371,7 @@ def _paired(model: Broadcast, schema: pa.Schema) -> Callable[[Iterator[pa.Record
                 if parts and key != now:
                     yield of(*now, parts, m)
                     parts = []
+                    trim()
                 now = key
                 parts.append((batch.column(2)[i].as_py(), batch.column(11)[i].as_py()))
         if parts:
@@ -413,6 +415,9 @@ def _scores(model: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                     total = lambda x: np.bincount(inverse, weights=x[a0:b0], minlength=len(found))  # noqa: E731, B023
                     out.append(pack(_steps(found), total(p).astype(np.float32), *((total(base), total(known).astype(np.int64)) if base is not None else ())))
                 yield pa.record_batch([pa.array(chunks, pa.int64()), pa.array(out, pa.binary())], names=["chunk", "blob"])
+                del a, p, doc, base, known, out
+                trim()
+        trim()
 
     return run
 
