@@ -3,11 +3,14 @@
 A line is compared without white space and with A-Z lowered. Its shingles are all runs of SHINGLE characters.
 Signatures are made of all shingles, in 32 bits, and banded for a recall of 0.995 at the threshold. Candidates are
 verified by the exact Jaccard similarity of all shingles, links become components by distributed union-find,
-and the first line of each component stays, in the order of document id and line number.
+and the first line of each component stays, in the order of document id and line number. Lines too short for a
+shingle link with equal ones alone.
 
-Nodes are distinct lines, so that any number of equal lines is one node. Members of a band's bucket are compared
-with its least member first; where that leaves a bucket with several components, its members of different ones are
-compared with each other, in blocks of bounded size.
+Nodes are distinct lines, so that any number of equal lines is one node; a task signs a line once, not each of its
+copies. Members of a band's bucket are compared with its least member first; where that leaves a bucket with several
+components, its members of different ones are compared with each other, in blocks of bounded size.
+
+A line's node is a hash of 64 bits; of n distinct lines n * n / 4e19 pairs would share one by chance.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from metaframe.llm.shared import small, written
 SHINGLE = 8
 # Lines link when 10 * intersection >= 8 * union, a similarity of 0.8.
 BANDS, ROWS = 10, 4
-#: Lines of fewer characters other than white space have no shingle, and are never removed.
-MIN_CHARS = SHINGLE
+#: Shingles that are signed at once, and hashes of lines that a task remembers to have signed.
+PIECE, SEEN = 1 << 19, 300_000
 #: Most lines of a block in which all are compared, and most characters, about.
 BLOCK, BLOCK_CHARS = 256, 1 << 18
 _SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)).astype(np.uint32) | np.uint32(1)
@@ -39,64 +42,96 @@ class Lines:
     def __init__(self, column: pa.Array):
         texts = Texts(column)
         raw = texts.bytes
-        points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32).copy()
+        lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int64)))
         cuts = lead[texts.offsets]  # documents' bounds in code points
+        del lead
         breaks = np.flatnonzero(points == 10)
         starts = np.sort(np.concatenate([cuts[:-1], breaks + 1]), kind="stable")
         ends = np.sort(np.concatenate([cuts[1:], breaks]), kind="stable")
-        upper = (points >= 65) & (points <= 90)
-        points[upper] += 32
+        points[(points >= 65) & (points <= 90)] += 32
         solid = ~((points < 33) & WHITE[np.minimum(points, 255)])
-        rank = np.concatenate(([0], np.cumsum(solid)))
-        self.points, self.start, self.end = points[solid].astype(U64), rank[starts], rank[ends]
+        rank = np.concatenate(([0], np.cumsum(solid, dtype=np.int64)))
+        self.points, self.start, self.end = points[solid], rank[starts], rank[ends]
         per_doc = np.diff(np.searchsorted(breaks, cuts)) + 1
         self.doc = np.repeat(np.arange(len(texts)), per_doc)
         self.number = np.arange(len(starts)) - np.repeat(np.concatenate(([0], np.cumsum(per_doc)[:-1])), per_doc)
 
-    def eligible(self) -> np.ndarray:
-        return np.flatnonzero(self.end - self.start >= MIN_CHARS)
+    def filled(self) -> np.ndarray:
+        return np.flatnonzero(self.end > self.start)
 
     def hashes(self, lines: np.ndarray) -> np.ndarray:
         return span_hashes(self.points, self.start[lines], self.end[lines])
 
-    def rolled(self) -> np.ndarray:
-        """The hash of the shingle that begins at each character."""
-        h, n = mix(self.points), len(self.points)
-        out = np.zeros(n, dtype=U64)
+    def rolled(self, lo: int, hi: int) -> np.ndarray:
+        """The hash of the shingle that begins at each of these characters."""
+        h = mix(self.points[lo : hi + SHINGLE - 1].astype(U64))
+        out = np.zeros(hi - lo, dtype=U64)
         for j in range(SHINGLE):
             out *= U64(0x5851F42D4C957F2D)
-            out[: max(0, n - j)] += h[j:]
+            part = h[j : j + hi - lo]
+            out[: len(part)] += part
         return mix(out)
 
+    def keys(self, lines: np.ndarray) -> np.ndarray:
+        """The BANDS keys of each line, which has SHINGLE characters or more. Long lines are signed in pieces."""
+        width = self.end[lines] - self.start[lines] - SHINGLE + 1
+        many = -(-width // PIECE)
+        first = np.cumsum(many) - many
+        begin = np.repeat(self.start[lines], many) + (np.arange(many.sum()) - np.repeat(first, many)) * PIECE
+        size = np.minimum(np.repeat(self.start[lines] + width, many) - begin, PIECE)
+        least = np.empty((len(begin), BANDS * ROWS), dtype=np.uint32)
+        i = 0
+        while i < len(begin):
+            j = max(i + 1, int(np.searchsorted(begin, begin[i] + PIECE)))
+            lo, hi = int(begin[i]), int(begin[j - 1] + size[j - 1])
+            place = np.cumsum(size[i:j]) - size[i:j]
+            at = np.repeat(begin[i:j] - lo - place, size[i:j]) + np.arange(size[i:j].sum())
+            h = self.rolled(lo, hi)[at]
+            low, high = h.astype(np.uint32), (h >> U64(32)).astype(np.uint32)
+            for k, salt in enumerate(_SALTS):
+                least[i:j, k] = np.minimum.reduceat((low * salt) ^ high, place)
+            i = j
+        least = np.minimum.reduceat(least, first, axis=0) if len(first) else least
+        keys = np.zeros((len(lines), BANDS), dtype=U64)
+        for band in range(BANDS):
+            key = np.full(len(lines), U64(band + 1))
+            for row in range(ROWS):
+                key = mix(key ^ least[:, band * ROWS + row].astype(U64))
+            keys[:, band] = key
+        return keys
+
 
 def _signatures(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each filled line's hash; its keys where the task meets it first, if it has a shingle."""
+    seen: set[int] = set()
     for batch in batches(stream, 1 << 20):
         lines = Lines(batch.column(1))
-        own = lines.eligible()
-        start, width = lines.start[own], lines.end[own] - lines.start[own] - SHINGLE + 1
-        rolled = lines.rolled()
-        at = np.repeat(start - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum()) if len(own) else np.zeros(0, np.int64)
-        h = rolled[at]
-        low, high = h.astype(np.uint32), (h >> U64(32)).astype(np.uint32)
-        first = np.cumsum(width) - width
-        keys = np.zeros((len(own), BANDS), dtype=U64)
-        if len(own):
-            for band in range(BANDS):
-                key = np.full(len(own), U64(band + 1))
-                for row in range(ROWS):
-                    key = mix(key ^ np.minimum.reduceat((low * _SALTS[band * ROWS + row]) ^ high, first).astype(U64))
-                keys[:, band] = key
+        own = lines.filled()
+        hashes = lines.hashes(own)
+        new = np.zeros(len(own), dtype=bool)
+        for i, h in enumerate(hashes.tolist()):
+            if h not in seen:
+                seen.add(h)
+                new[i] = True
+        if len(seen) > SEEN:
+            seen.clear()
+        new &= lines.end[own] - lines.start[own] >= SHINGLE
+        keys = lines.keys(own[new])
         ids = batch.column(0).take(pa.array(lines.doc[own]))
-        yield pa.record_batch([ids, pa.array(lines.number[own].astype(np.int64)), int64(lines.hashes(own)), list_array(keys.ravel(), np.arange(len(own) + 1) * BANDS)], names=["id", "line", "hash", "keys"])
+        yield pa.record_batch([ids, pa.array(lines.number[own].astype(np.int64)), int64(hashes), list_array(keys.ravel(), np.concatenate(([0], np.cumsum(new))) * BANDS)], names=["id", "line", "hash", "keys"])
 
 
 def _squeezed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each eligible line's hash and its characters."""
+    """The hash and the characters of each line that has a shingle, where the task meets it first."""
+    seen: set[int] = set()
     for batch in batches(stream, 1 << 20):
         lines = Lines(batch.column(0))
-        own = lines.eligible()
-        points = lines.points.astype(np.uint32)
+        own = np.flatnonzero(lines.end - lines.start >= SHINGLE)
+        own = own[[h not in seen and not seen.add(h) for h in lines.hashes(own).tolist()]] if len(own) else own
+        if len(seen) > SEEN:
+            seen.clear()
+        points = lines.points
         data = points.tobytes().decode("utf-32-le").encode()
         at = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF))))
         chars = pa.LargeStringArray.from_buffers(len(lines.start), pa.py_buffer(at[np.append(lines.start, lines.end[-1:])].tobytes()), pa.py_buffer(data))
@@ -106,8 +141,7 @@ def _squeezed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(column: pa.Array) -> list[np.ndarray]:
     """The sorted distinct shingles of each squeezed line."""
     lines = Lines(column)
-    rolled = lines.rolled()
-    return [np.unique(rolled[a : b - SHINGLE + 1]) for a, b in zip(lines.start, lines.end, strict=True)]
+    return [np.unique(lines.rolled(a, b - SHINGLE + 1)) for a, b in zip(lines.start.tolist(), lines.end.tolist(), strict=True)]
 
 
 def _verified(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +219,7 @@ def _within_buckets(met: DataFrame, found: DataFrame, texts: DataFrame) -> DataF
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, line, hash, component) of each eligible line, and (component, id, line) of the one that stays."""
+    """(id, line, hash, component) of each filled line, and (component, id, line) of the one that stays."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
     signed = written(docs.mapInArrow(_signatures, f"id {id_type}, line long, hash long, keys array<long>"), "signed")
@@ -200,7 +234,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = written(_within_buckets(met.drop("low"), found, texts), "more")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-    lines = signed.drop("keys").join(found, F.col("hash") == F.col("node"), "left").select("id", "line", "hash", F.coalesce("root", "hash").alias("component"))
+    lines = signed.drop("keys").join(small(found), F.col("hash") == F.col("node"), "left").select("id", "line", "hash", F.coalesce("root", "hash").alias("component"))
     lines = written(lines, "lines")
     return lines, written(lines.groupBy("component").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first.id", "first.line"), "stay")
 
@@ -214,14 +248,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text less its repeated lines, and the array column `_gone` of their numbers; all columns stay.
+    """A struct `row` of each document's columns, its text less the repeated lines, and `gone`, the numbers of these lines.
 
-    Lines are cut at line feeds. Those of fewer than MIN_CHARS characters besides white space always stay. A
-    document whose text is null stays as it is; one that loses every line has the empty text. Rows that repeat
-    an id are one document: equal line numbers stay or go in all of them. Null ids are one id, the least.
+    Lines are cut at line feeds; blank ones always stay. A document whose text is null stays as it is; one that
+    loses every line has the empty text. Rows that repeat an id are one document: equal line numbers stay or go in
+    all of them. Null ids are one id, the least. An empty table gives none; other columns may have any name.
     """
-    gone = written(removals(docs, id_col, text_col), "gone").select(F.col("id").alias("_id"), F.col("gone").alias("_gone"))
-    out = docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_gone", i.cast("long")))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.coalesce("_gone", F.array().cast("array<long>")).alias("_gone"))
+    gone = written(removals(docs, id_col, text_col), "gone").select(F.col("id").alias("gone_id"), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = rows.join(small(gone), F.col("id").eqNullSafe(F.col("gone_id")), "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i.cast("long")))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return out.select(F.struct(*[(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]).alias("row"), F.coalesce("gone", F.array().cast("array<long>")).alias("gone"))

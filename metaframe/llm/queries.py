@@ -62,7 +62,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (the lines' numbers, from 0) and the digest of the text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")))
-    return out.select("doc_id", "n_lines", F.size("_gone").cast("long").alias("n_removed"), F.col("_gone").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return out.select("row.doc_id", "row.n_lines", F.size("gone").cast("long").alias("n_removed"), F.col("gone").alias("removed"), F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

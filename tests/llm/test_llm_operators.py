@@ -210,11 +210,22 @@ def test_decontamination(spark):
 def test_line_dedup(spark):
     long = " ".join(prose(1, 30))
     near = " ".join([*prose(1, 30)[:-1], "other"])
-    texts = [f"{long}\nshort", f"x\n{near}\nkept {' '.join(prose(2, 20))}", long.upper().replace(" ", "  "), None, "", "short\nshort", f"{long}\n{long}"]
-    got = {r.doc_id: (r.text, r._gone) for r in line_dedup.dedup_lines(frame(spark, texts, [5, 6, 7, 8, 9, 10, 11])).collect()}
+    texts = [f"{long}\nshort", f"x\n{near}\nkept {' '.join(prose(2, 20))}", long.upper().replace(" ", "  "), None, "", "short\nSHORT\n\n \nx", f"{long}\n{long}"]
+    got = {r.row.doc_id: (r.row.text, r.gone) for r in line_dedup.dedup_lines(frame(spark, texts, [5, 6, 7, 8, 9, 10, 11])).collect()}
     assert got[5] == (texts[0], []) and got[6] == (f"x\nkept {' '.join(prose(2, 20))}", [1]) and got[7] == ("", [0])
-    assert got[8] == (None, []) and got[9] == ("", []) and got[10] == ("short\nshort", []) and got[11] == ("", [0, 1])
+    assert got[8] == (None, []) and got[9] == ("", []) and got[10] == ("\n ", [0, 1, 4]) and got[11] == ("", [0, 1])
     assert line_dedup.dedup_lines(frame(spark, texts).limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, long, 1, 2, 3), (2, long, 1, 2, 3)], "doc_id long, text string, _id int, gone int, `a.b` int")
+    assert sorted((r.row.doc_id, r.row.text, r.row._id, r.row["a.b"], r.gone) for r in line_dedup.dedup_lines(odd).collect()) == [(1, long, 1, 3, []), (2, "", 1, 3, [0])]
+
+
+def test_signatures_of_long_lines_are_those_of_their_pieces(monkeypatch):
+    lines = line_dedup.Lines(pa.array(["\n".join(" ".join(prose(i, n)) for i, n in enumerate((3, 900, 4, 60, 2000)))]))
+    own = np.flatnonzero(lines.end - lines.start >= line_dedup.SHINGLE)
+    whole = lines.keys(own)
+    for piece in (7, 100, 3001):
+        monkeypatch.setattr(line_dedup, "PIECE", piece)
+        assert (lines.keys(own) == whole).all()
 
 
 def test_line_dedup_equals_brute_force(spark, sf):
@@ -224,7 +235,7 @@ def test_line_dedup_equals_brute_force(spark, sf):
     for i, t in docs.orderBy("doc_id").collect():
         for k, line in enumerate(t.split("\n")):
             q = squeeze(line)
-            if len(q) >= line_dedup.MIN_CHARS:
+            if q:
                 where.append((i, k, q))
                 found.setdefault(q, {q[j : j + 8] for j in range(len(q) - 7)})
     names = list(found)
@@ -247,9 +258,9 @@ def test_line_dedup_equals_brute_force(spark, sf):
 
 
 def test_line_dedup_of_short_lines(spark):
-    texts = ["eight ch\nAll rights reserved.\nown 1", "Eightch\nall rights  RESERVED.\nown 2", "something else here\nall rights reserved.\neightch", "all rights reserved."]
-    got = {r.doc_id: r._gone for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
-    assert got == {0: [], 1: [1], 2: [1], 3: [0]}
+    texts = ["eight ch\nAll rights reserved.\nown 1", "Eightc\nall rights  RESERVED.\nown 2", "something else here\nall rights reserved.\neightc h", "all rights reserved."]
+    got = {r.row.doc_id: r.gone for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {0: [], 1: [1], 2: [1, 2], 3: [0]}
 
 
 def test_line_dedup_within_buckets(spark):
