@@ -71,8 +71,12 @@ def flatten_any(records: DataFrame) -> DataFrame:
     return records.select("record_id", "record_type", F.explode(entries).alias("e")).select("record_id", "record_type", F.col("e.key").alias("field"), F.array_join("e.value", "; ").alias("value"))
 
 
-def coerce_values(f: Field, given: Column) -> Column:
-    """A struct of the field's canonical values and a warning, from the values that a model returned (null: none)."""
+def coerce_values(f: Field, given: Column, listed: Column | None = None) -> Column:
+    """A struct of the field's canonical values and a warning, from the values that a model returned (null: none).
+
+    listed: whether they came as a list, of which a field that is not repeatable tells, whatever its length; by default all do.
+    """
+    listed = given.isNotNull() if listed is None else listed
     given = F.coalesce(given, F.array().cast("array<string>"))
     if f.repeatable:
         done = F.transform(given, lambda v: coerced(f, v))
@@ -81,7 +85,7 @@ def coerce_values(f: Field, given: Column) -> Column:
         return F.struct(kept.alias("values"), F.array_join(said, "; ").alias("warning"))
     first = F.element_at(F.concat(F.filter(given, lambda v: ~blank(v)), F.array(F.lit(""))), 1)
     done = coerced(f, first)
-    many = F.when(F.size(given) > 1, MANY).otherwise("")
+    many = F.when(listed, MANY).otherwise("")
     return F.struct(F.filter(F.array(done.value), lambda v: v != "").alias("values"), strip(F.concat_ws(" ", many, done.warning)).alias("warning"))
 
 

@@ -11,7 +11,11 @@ from metaframe.functions import text as T
 from metaframe.functions.checks import coerced, value_message
 from metaframe.operators import extraction, ids, mapping, projects, records, relations
 from metaframe.plans.compiler import coerce_values, flatten, typed, unknown_fields, validate_records
-from metaframe.schema import CORPUS_TYPES, Field, Schema, default_schema
+from metaframe.schema import CORPUS_TYPES, RECORD_SCHEMA, RELATION_SCHEMA, Field, Schema, default_schema
+from metaframe.scratch import fresh_path
+from metaframe.sinks import writers
+from metaframe.sources import files
+from metaframe.sources.xml import read_leaves, read_records, read_relations
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -274,10 +278,10 @@ def unknown_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SLUG = "coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(v)), '\\s+', '_', 'g'), '[^a-z0-9_-]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g'), ''), 'field')"
 
 
-@query(f"SELECT k, {_SLUG} AS slug FROM (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN ' ' || p_name || ' & ' || p_type ELSE p_brand || '__' || p_name END AS v FROM part UNION ALL SELECT doc_id, left(text, 30) FROM documents)")
+@query(f"SELECT k, {_SLUG} AS slug FROM (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN ' ' || p_name || ' & ' || p_type ELSE p_brand || '__' || p_name END AS v FROM part UNION ALL SELECT doc_id, text FROM documents)")
 def slugify_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.expr("CASE p_partkey % 3 WHEN 0 THEN ' ' || p_name || ' & ' || p_type ELSE p_brand || '__' || p_name END").alias("v"))
-    return part.unionByName(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.left("text", F.lit(30)).alias("v"))).select("k", T.slugify(F.col("v")).alias("slug"))
+    return part.unionByName(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("text").alias("v"))).select("k", T.slugify(F.col("v")).alias("slug"))
 
 
 _HTML = r"""
@@ -384,11 +388,11 @@ def unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.unique_ids(rows)
 
 
-@query("SELECT 'order_' || o_orderkey || CASE WHEN o_orderkey % 20 = 0 THEN '_copy_2' ELSE '_copy' END AS record_id, 1000000000 + o_orderkey AS ord FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT 'order_' || o_orderkey || CASE WHEN o_orderkey % 20 = 0 THEN '_copy_2' ELSE '_copy' END AS record_id, 1000000000 + o_orderkey AS ord FROM orders")
 def copy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select(F.concat(F.lit("order_"), _text("o_orderkey")).alias("record_id"), F.col("o_orderkey").alias("ord"))
     had = orders.unionByName(orders.where("ord % 20 = 0").select(F.concat("record_id", F.lit("_copy")).alias("record_id"), (F.col("ord") + 500000000).alias("ord")))
-    return ids.copies(had, orders.where("ord % 10 = 0"), 1_000_000_000)
+    return ids.copies(had, orders, 1_000_000_000)
 
 
 _CASES = " ".join(f"WHEN contains(v, '{t}') THEN '{t}'" for t in CORPUS_TYPES)
@@ -434,16 +438,30 @@ def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("ord", F.col("fields")["title"][0].alias("title"), F.col("fields")["word_count"][0].alias("word_count"))
 
 
-@query("SELECT 'doc_' || doc_id AS record_id, 'language: ' || lang AS line FROM documents")
+_FIELDS = """
+WITH d AS (SELECT 'doc_' || doc_id AS record_id, doc_id, split_part(text, chr(10), 1) AS title, lang, source, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+f AS (
+  SELECT record_id, 'title' AS field, title AS value FROM d
+  UNION ALL SELECT record_id, 'language', lang FROM d
+  UNION ALL SELECT record_id, 'genre', source FROM d
+  UNION ALL SELECT record_id, 'character_count', n_chars::VARCHAR FROM d
+  UNION ALL SELECT record_id, 'quality', quality::VARCHAR FROM d WHERE quality IS NOT NULL
+  UNION ALL SELECT record_id, 'toxic', toxic::VARCHAR FROM d WHERE toxic IS NOT NULL
+  UNION ALL SELECT record_id, 'keyword', CASE doc_id % 7 WHEN 0 THEN lang || ';  ; ' || source ELSE lang END FROM d WHERE doc_id % 7 < 2
+  UNION ALL SELECT record_id, 'mood', 'fair' FROM d WHERE doc_id % 5 = 0)
+"""
+
+
+@query(_FIELDS + "SELECT record_id, field || ': ' || value AS line FROM f")
 def record_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.details(document_records(spark, sf_dir)).where(F.col("line").startswith("language"))
+    return records.details(document_records(spark, sf_dir))
 
 
-@query("SELECT 'doc_' || doc_id AS record_id, 'language' AS field, lang AS value FROM documents UNION ALL SELECT 'doc_' || doc_id, 'mood', 'fair' FROM documents WHERE doc_id % 5 = 0")
+@query(_FIELDS + "SELECT record_id, 'text' AS record_type, field, value FROM f")
 def flatten_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     from metaframe.plans.compiler import flatten_any as run
 
-    return run(document_records(spark, sf_dir)).where("field in ('language', 'mood')").drop("record_type")
+    return run(document_records(spark, sf_dir))
 
 
 @query(
@@ -452,7 +470,7 @@ def flatten_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def append_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer").select(F.concat(F.lit("cust_x"), _text("c_custkey")).alias("record_id"), F.col("c_custkey").alias("ord"))
-    return projects.append_import(rows.where("ord % 2 = 0"), rows, derive=False)
+    return projects.append_import(rows.where("ord % 2 = 0"), rows, derive=None)
 
 
 @query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'pasted' END AS source FROM pages")
@@ -461,12 +479,117 @@ def preferred_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", projects.preferred_source(F.when(at == 0, F.col("url")).otherwise(" "), F.lit(None).cast("string"), F.when(at < 2, "pasted")).alias("source"))
 
 
-@query()
+@query(
+    """SELECT 'doc_' || doc_id AS record_id, 'test' AS project, 'document_schema' AS schema_name, 8::BIGINT AS n_fields, lang AS language,
+    CASE WHEN length(text) <= 60000 THEN text ELSE left(text, 30000) || chr(10) || chr(10) || '[...TRUNCATED...]' || chr(10) || chr(10) || right(text, 30000) END AS source FROM documents"""
+)
 def prompt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with the whole document, read back from their JSON."""
     docs = document_records(spark, sf_dir, "text")
-    return extraction.prompts(docs, SCHEMA, {"project_name": "test", "corpus_type": "custom"}, T.truncate(F.col("text"), 60_000))
+    prompted = extraction.prompts(docs, SCHEMA, {"project_name": "test", "corpus_type": "custom"}, T.truncate(F.col("text"), 60_000))
+    shape = "project struct<project_name:string>, schema struct<schema_name:string, fields:array<struct<field_id:string>>>, record struct<record_id:string, fields:map<string,array<string>>>, source struct<text:string>"
+    p = prompted.select("record_id", F.from_json("prompt", shape).alias("p"))
+    return p.select("record_id", F.col("p.project.project_name").alias("project"), "p.schema.schema_name", F.size("p.schema.fields").cast("long").alias("n_fields"), F.col("p.record.fields")["language"][0].alias("language"), F.col("p.source.text").alias("source"))
 
 
-@query()
+@query("SELECT doc_id AS ord, CASE doc_id % 3 WHEN 0 THEN lang || doc_id WHEN 1 THEN source ELSE 'generated' END AS record_id FROM documents")
 def derived_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ids.derive_ids(document_records(spark, sf_dir)).select("record_id", "ord")
+    """Ids from the field record_id, else text_id, else generated ones, which differ from each other."""
+    docs = _table(spark, sf_dir, "documents")
+    own = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("record_id"), F.array(F.concat("lang", _text("doc_id"))), F.lit("text_id"), F.array("source"))).when(F.col("doc_id") % 3 == 1, F.create_map(F.lit("text_id"), F.array("source"))).otherwise(F.create_map(F.lit("title"), F.array("source")))
+    made = ids.derive_ids(docs.select(F.lit("").alias("record_id"), own.alias("fields"), F.col("doc_id").alias("ord")))
+    return made.select("ord", F.when(F.col("record_id").rlike("^rec_[0-9a-f]{10}$"), "generated").otherwise(F.col("record_id")).alias("record_id"))
+
+
+# Sinks and sources: what is written to the shared folder is read back.
+
+PARTS = Schema("parts", fields=[Field("name", xml_tag="n", order=1), Field("size", data_type="integer", order=2), Field("label", repeatable=True, order=3)])
+
+
+def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "part")
+    fields = F.create_map(F.lit("name"), F.array(F.concat(F.lit("<"), "p_name", F.lit(' & "'), "p_brand", F.lit('">'))), F.lit("size"), F.array(_text("p_size")), F.lit("label"), F.array("p_type", F.lit(""), "p_brand"))
+    return rows.select(F.concat(F.lit("part_"), _text("p_partkey")).alias("record_id"), F.lit("text").alias("record_type"), fields.alias("fields"), F.when(F.col("p_partkey") % 2 == 0, "<a>1 &amp; 2</a>").otherwise("").alias("original_xml"), F.col("p_partkey").alias("ord"))
+
+
+_PARTS = """SELECT 'part_' || p_partkey AS record_id, 'text' AS record_type, '<' || p_name || ' & "' || p_brand || '">' AS name, p_size::VARCHAR AS size, p_type || '; ; ' || p_brand AS label{} FROM part"""
+
+
+@query(_PARTS.format(", CASE p_partkey % 2 WHEN 0 THEN '<a>1 &amp; 2</a>' ELSE '' END AS original_xml"))
+def roundtrip_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "records-xml")
+    writers.write_records(part_records(spark, sf_dir), PARTS, path)
+    back = read_records(spark, path)
+    return flatten(back.select("record_id", "record_type", F.map_concat("fields", F.create_map(F.lit("original_xml"), F.array("original_xml"))).alias("fields")), Schema(fields=[*PARTS.fields, Field("original_xml", order=4)]))
+
+
+@query(_PARTS.format(""))
+def roundtrip_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "records-csv")
+    writers.write_csv(part_records(spark, sf_dir), PARTS, path)
+    return spark.read.option("header", True).option("escape", '"').schema("record_id string, record_type string, name string, size string, label string").csv(path)
+
+
+def customer_documents(spark: SparkSession, sf_dir: str) -> str:
+    """Generic XML documents with nested elements: each is a part of the customers."""
+    path = fresh_path(spark, "customers-xml")
+    rows = _table(spark, sf_dir, "customer")
+    about = F.struct(F.col("c_mktsegment").alias("Segment"), F.array("c_name", F.lit("  "), F.concat(F.lit(" no. "), _text("c_custkey"))).alias("name"))
+    rows.select(F.concat(F.lit("c"), _text("c_custkey")).alias("_record_id"), about.alias("about"), _text("c_nationkey").alias("nation")).write.format("xml").option("rootTag", "customers").option("rowTag", "customer").save(path)
+    return path
+
+
+@query(
+    """SELECT 'c' || c_custkey AS record_id, 'customer' AS record_type, x.tag AS tag, x.text AS text FROM customer,
+    unnest([{'tag': 'Segment', 'text': c_mktsegment}, {'tag': 'name', 'text': c_name}, {'tag': 'name', 'text': 'no. ' || c_custkey}, {'tag': 'nation', 'text': c_nationkey::VARCHAR}]) AS t(x)"""
+)
+def xml_leaf_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_leaves(spark, customer_documents(spark, sf_dir)).select("record_id", "record_type", "tag", "text")
+
+
+@query(
+    """SELECT 'c' || c_custkey AS record_id, 'customer' AS record_type, c_mktsegment AS segment, c_name || '; no. ' || c_custkey AS label, c_nationkey::VARCHAR AS nation FROM customer"""
+)
+def import_generic_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents imported into an empty project: tags bound by id, tag and label, an unknown one added, ids by the elements."""
+    schema = Schema(fields=[Field("segment", order=1), Field("label", xml_tag="NAME", repeatable=True, order=2)])
+    empty = spark.createDataFrame([], RECORD_SCHEMA), spark.createDataFrame([], RELATION_SCHEMA)
+    done = projects.import_documents(projects.Project(schema, *empty), customer_documents(spark, sf_dir), add_unknown=True)
+    return flatten(done.records, done.schema)
+
+
+@query("SELECT n_nationkey, n_name || chr(10) AS text, 'text' AS source_kind, 'text/plain' AS mime_type FROM nation")
+def text_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file for each nation, read as sources."""
+    path = fresh_path(spark, "texts")
+    _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").repartition(1).write.partitionBy("n_nationkey").text(path)
+    rows = files.read_sources(spark, f"{path}/*/*.txt")
+    return rows.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), "text", "source_kind", "mime_type")
+
+
+@query("SELECT 'nation_' || n_nationkey AS record_id, n_name AS name, n_regionkey::VARCHAR AS region FROM nation")
+def roundtrip_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook of records, imported again by its headers."""
+    path = fresh_path(spark, "book") + ".xlsx"
+    rows = _table(spark, sf_dir, "nation")
+    own = rows.select(F.concat(F.lit("nation_"), _text("n_nationkey")).alias("record_id"), F.lit("text").alias("record_type"), F.create_map(F.lit("name"), F.array("n_name"), F.lit("region"), F.array(_text("n_regionkey"))).alias("fields"), F.col("n_nationkey").cast("long").alias("ord"))
+    schema = Schema(fields=[Field("record_id", order=1), Field("name", order=2), Field("region", order=3)])
+    writers.write_workbook(own.withColumn("fields", records.set_value(F.col("fields"), "record_id", F.array("record_id"))), schema, writers.local_path(path))
+    seen = files.preview(spark, path, schema)
+    _, cells = files.read_workbook(spark, path)
+    return flatten(ids.derive_ids(mapping.import_rows(cells, seen.headers, seen.mapping)), schema).drop("record_type")
+
+
+@query(
+    """SELECT 's' || s_suppkey AS record_id, s_name AS name, 's' || s_suppkey AS source_record, 'n' || s_nationkey AS target_record, 'in & of' AS note FROM supplier"""
+)
+def roundtrip_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project of suppliers and their relations to nations, as one file."""
+    path = fresh_path(spark, "project") + ".xml"
+    rows = _table(spark, sf_dir, "supplier")
+    key = F.concat(F.lit("s"), _text("s_suppkey"))
+    own = rows.select(key.alias("record_id"), F.lit("text").alias("record_type"), F.create_map(F.lit("name"), F.array("s_name")).alias("fields"), F.lit("").alias("original_xml"), F.col("s_suppkey").alias("ord"))
+    links = rows.select(F.concat(F.lit("l"), key).alias("relation_id"), F.lit("located").alias("relation_type"), key.alias("source_record"), F.concat(F.lit("n"), _text("s_nationkey")).alias("target_record"), F.lit("").alias("description"), F.create_map(F.lit("note"), F.lit("in & of")).alias("attributes"), F.col("s_suppkey").alias("ord"))
+    writers.write_project(writers.local_path(path), {"project_id": "p", "project_name": "suppliers"}, Schema(fields=[Field("name")]), own, links)
+    back, ends = read_records(spark, path), read_relations(spark, path)
+    return back.join(ends, F.col("record_id") == F.col("source_record")).select("record_id", F.col("fields")["name"][0].alias("name"), "source_record", "target_record", F.col("attributes")["note"].alias("note"))

@@ -22,6 +22,14 @@ from metaframe.plans.compiler import flatten
 from metaframe.schema import Schema, slug
 
 
+def local_path(path: str) -> Path:
+    """A path that the driver can open, for formats that are one file; a store that only Spark reaches is an error."""
+    scheme, found, rest = path.partition(":")
+    if found and scheme != "file":
+        raise ValueError(f"A single file is written by the driver, which cannot open {path}")
+    return Path("/" + rest.lstrip("/")) if found else Path(path)
+
+
 def _xml_text(c: Column) -> Column:
     for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(raw), F.lit(name))
@@ -45,9 +53,20 @@ def record_xml(schema: Schema | None = None) -> Column:
     return F.array_join(F.concat(F.array(head), own, original, F.array(F.lit("  </record>"))), "\n")
 
 
+def _element(schema: Schema | None) -> list[Column]:
+    """The columns of a record element for Spark's XML writer: attributes, a field for each value, and the original."""
+    ids = schema.ids() if schema else []
+    known = F.array(*map(F.lit, ids)).cast("array<string>")
+    order = F.concat(known, F.array_sort(F.array_except(F.map_keys("fields"), known)))
+    tags = F.create_map(*(F.lit(x) for f in (schema.fields if schema else []) for x in (f.field_id, f.xml_tag))) if ids else F.create_map().cast("map<string,string>")
+    one = lambda k, v: F.struct(k.alias("_name"), F.coalesce(tags[k], k).alias("_xml_tag"), F.coalesce(v, F.lit("")).alias("_VALUE"))
+    own = F.flatten(F.transform(order, lambda k: F.transform(F.coalesce(F.col("fields")[k], F.array().cast("array<string>")), lambda v: one(k, v))))
+    return [F.col("record_id").alias("_record_id"), F.col("record_type").alias("_record_type"), own.alias("field"), F.nullif("original_xml", F.lit("")).alias("original_xml")]
+
+
 def write_records(records: DataFrame, schema: Schema, path: str) -> None:
-    """Record elements as text files in the order of `ord`, one after the other: for any number of records."""
-    records.sort("ord").select(record_xml(schema).alias("value")).write.text(path)
+    """Records as XML documents, one for each part of the order of `ord`, each with the root <records>: for any number of records."""
+    records.sort("ord").select(*_element(schema)).write.format("xml").option("rootTag", "records").option("rowTag", "record").save(path)
 
 
 def schema_element(schema: Schema) -> ET.Element:
@@ -112,13 +131,15 @@ def write_project(path: str | Path, info: dict[str, str], schema: Schema, record
     path.parent.mkdir(parents=True, exist_ok=True)
     part = path.with_suffix(".part")
     with part.open("w", encoding="utf-8") as out:
-        out.write("<?xml version='1.0' encoding='utf-8'?>\n<metadata_project>\n<project_info>\n")
-        out.writelines(f"<{k}>{escape(v)}</{k}>\n" for k, v in (info | {"updated_at": datetime.now().replace(microsecond=0).isoformat()}).items())
-        out.write("</project_info>\n" + ET.tostring(schema_element(schema), encoding="unicode") + "\n<records>\n")
-        out.writelines(f"{r[0]}\n" for r in records.sort("ord").select(record_xml(schema)).toLocalIterator())
-        out.write("</records>\n<relations>\n")
-        out.writelines(f"{r[0]}\n" for r in relations.sort("ord").select(_relation_xml()).toLocalIterator())
-        out.write("</relations>\n</metadata_project>\n")
+        out.write("<?xml version='1.0' encoding='utf-8'?>\n<metadata_project>\n  <project_info>\n")
+        out.writelines(f"    <{k}>{escape(v)}</{k}>\n" for k, v in (info | {"updated_at": datetime.now().replace(microsecond=0).isoformat()}).items())
+        element = schema_element(schema)
+        ET.indent(element, "  ", 1)
+        out.write("  </project_info>\n  " + ET.tostring(element, encoding="unicode") + "\n  <records>\n")
+        out.writelines(f"  {r[0]}\n" for r in records.sort("ord").select(record_xml(schema)).toLocalIterator())
+        out.write("  </records>\n  <relations>\n")
+        out.writelines(f"  {r[0]}\n" for r in relations.sort("ord").select(_relation_xml()).toLocalIterator())
+        out.write("  </relations>\n</metadata_project>\n")
     os.replace(part, path)
 
 

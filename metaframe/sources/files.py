@@ -6,6 +6,8 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaframe.functions.text import MAX_CHARS, decode, html_to_text, mime_type, source_kind, truncate, truncation_warning
+from metaframe.operators.mapping import mapping_of
+from metaframe.schema import Schema
 
 PDF_PAGES = 20
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
@@ -26,6 +30,15 @@ def _no_pdf(content: bytes) -> list[str]:
     return [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages[:PDF_PAGES]]
 
 
+def _pdf_text(reader: Callable[[bytes], list[str]], content: bytes) -> tuple[str, str | None]:
+    """The marked texts of a file's pages, and an error; whatever the reader raises is the file's error, not the read's."""
+    try:
+        pages = [(i, t) for i, t in enumerate(reader(content), 1) if t.strip()]
+    except Exception as error:  # noqa: BLE001
+        return "", f"The PDF file could not be read: {error}"
+    return "\n".join(f"[PDF page {i}]\n{t}" for i, t in pages).strip(), None
+
+
 def read_sources(spark: SparkSession, path: str, limit: int = MAX_CHARS, pdf_reader: Callable[[bytes], list[str]] = _no_pdf) -> DataFrame:
     """(path, source_kind, mime_type, text, binary_base64, warning, error) of each file, by its suffix.
 
@@ -36,12 +49,12 @@ def read_sources(spark: SparkSession, path: str, limit: int = MAX_CHARS, pdf_rea
 
     def pages(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in stream:
-            told = rows["content"].map(lambda c: "".join(f"\n[PDF page {i}]\n{t}" for i, t in enumerate(pdf_reader(c), 1) if t.strip()).strip())
-            yield pd.DataFrame({"path": rows["path"], "content": rows["content"], "source_kind": rows["source_kind"], "_pdf": told})
+            told = [_pdf_text(pdf_reader, c) for c in rows["content"]]
+            yield pd.DataFrame({"path": rows["path"], "content": rows["content"], "source_kind": rows["source_kind"], "_pdf": [t for t, _ in told], "_failed": [e for _, e in told]})
 
-    shape = "path string, content binary, source_kind string, _pdf string"
+    shape = "path string, content binary, source_kind string, _pdf string, _failed string"
     pdf = files.where("source_kind = 'pdf'").mapInPandas(pages, shape)
-    rest = files.where("source_kind is null or source_kind <> 'pdf'").withColumn("_pdf", F.lit(None).cast("string"))
+    rest = files.where("source_kind is null or source_kind <> 'pdf'").withColumns({"_pdf": F.lit(None).cast("string"), "_failed": F.lit(None).cast("string")})
     both = rest.unionByName(pdf)
     raw = decode("content")
     text = F.when(F.col("source_kind") == "text", raw).when(F.col("source_kind") == "html", html_to_text(raw)).when(F.col("source_kind") == "pdf", F.col("_pdf"))
@@ -51,7 +64,7 @@ def read_sources(spark: SparkSession, path: str, limit: int = MAX_CHARS, pdf_rea
     return both.select(
         "path", "source_kind", mime_type(F.col("path")).alias("mime_type"), truncate(F.col("_text"), limit).alias("text"), binary.alias("binary_base64"),
         F.coalesce(empty_pdf, truncation_warning(F.col("_text"), limit)).alias("warning"),
-        F.when(F.col("source_kind").isNull(), F.concat(F.lit("Unsupported file type: "), "path")).when(F.col("source_kind").isin("text", "html") & F.col("_text").isNull(), F.lit("The text has no known encoding.")).alias("error"),
+        F.when(F.col("_failed").isNotNull(), F.col("_failed")).when(F.col("source_kind").isNull(), F.concat(F.lit("Unsupported file type: "), "path")).when(F.col("source_kind").isin("text", "html") & F.col("_text").isNull(), F.lit("The text has no known encoding.")).alias("error"),
     )
 
 
@@ -139,22 +152,47 @@ def workbook_rows(content: bytes) -> Iterator[list[str | None]]:
 
 
 def read_workbook(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
-    """Headers of the first row, stripped, and the rows below as (ord, cells)."""
+    """Headers of the first row, stripped, and the rows below as (ord, cells); ord follows files by path.
+
+    Several workbooks are one table and must have the same headers. Rows pass through in batches; a sheet is never held.
+    """
 
     def rows(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in stream:
-            for content in files["content"]:
-                out = [(i, r) for i, r in enumerate(workbook_rows(content))]
-                for at in range(0, len(out), 10_000):
-                    yield pd.DataFrame(out[at : at + 10_000], columns=["ord", "cells"])
+            for name, content in zip(files["path"], files["content"], strict=True):
+                sheet = ((name, i, r) for i, r in enumerate(workbook_rows(content)))
+                while part := list(islice(sheet, 10_000)):
+                    yield pd.DataFrame(part, columns=["path", "row", "cells"])
+
+    def first(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in stream:
+            tops = [(name, next(workbook_rows(content), None)) for name, content in zip(files["path"], files["content"], strict=True)]
+            yield pd.DataFrame([t for t in tops if t[1] is not None], columns=["path", "cells"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    tops = files.mapInPandas(first, "path string, cells array<string>").orderBy("path").collect()  # a row for each file
+    headers = [[(h or "").strip() for h in r.cells] for r in tops]
+    if any(h != headers[0] for h in headers):
+        raise ValueError("Workbooks that are read together must have the same headers.")
+    below = files.mapInPandas(rows, "path string, row long, cells array<string>").where("row > 0")
+    if len(headers) > 1:
+        below = below.sort("path", "row").withColumn("row", F.monotonically_increasing_id())
+    return (headers or [[]])[0], below.select(F.col("row").alias("ord"), "cells")
+
+
+@dataclass
+class Preview:
+    """A sheet's headers and first rows, the fields that its headers name, and the headers that name none."""
 
-    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "ord long, cells array<string>")
-    first = found.where("ord = 0").first()
-    headers = [(h or "").strip() for h in first.cells] if first else []
-    return headers, found.where("ord > 0")
+    headers: list[str]
+    rows: list[list[str]]
+    mapping: dict[str, str]
+    unknown: list[str]
 
 
-def preview(spark: SparkSession, path: str, n: int = 100) -> tuple[list[str], list[list[str]]]:
-    """Headers and the first n rows, as texts."""
+def preview(spark: SparkSession, path: str, schema: Schema, n: int = 100) -> Preview:
+    """What an import by the schema would find: the first n rows as texts, as wide as the headers."""
     headers, rows = read_workbook(spark, path)
-    return headers, [["" if c is None else c for c in r.cells] for r in rows.orderBy("ord").limit(n).collect()]
+    known, unknown = mapping_of(headers, schema)
+    shown = [["" if c is None else c for c in r.cells[: len(headers)]] for r in rows.orderBy("ord").limit(n).collect()]
+    return Preview(headers, shown, known, unknown)

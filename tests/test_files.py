@@ -1,6 +1,9 @@
 import csv
 import xml.etree.ElementTree as ET
 
+import pytest
+
+from metaframe.operators import projects as P
 from metaframe.operators.mapping import import_rows, mapping_of
 from metaframe.plans.compiler import flatten
 from metaframe.schema import RECORD_SCHEMA, RELATION_SCHEMA, Field, Schema, default_schema
@@ -36,14 +39,19 @@ def test_schema_files(spark, tmp_path):
     for _ in range(2):
         writers.save_to_library(default_schema(), tmp_path)
     (tmp_path / "bad.xml").write_text("<x>")
-    assert [n for n, _ in X.schema_library(spark, f"file://{tmp_path}/*.xml")] == ["monolingual_default_schema.xml", "monolingual_default_schema_2.xml"]
+    writers.write_schema(Schema("mine"), tmp_path / "own_schema.xml")
+    found = X.schema_library(spark, f"file://{tmp_path}/*.xml")
+    assert [(n, kind) for n, _, kind in found] == [("monolingual_default_schema.xml", "monolingual"), ("monolingual_default_schema_2.xml", "monolingual"), ("own_schema.xml", "custom")]
 
 
 def test_records_xml_parts(spark, tmp_path):
     writers.write_records(spark.createDataFrame(RECORDS, RECORD_SCHEMA), Schema(fields=[Field("author", order=1), Field("title", xml_tag="t", order=2)]), f"file://{tmp_path}/out")
-    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
-    root = ET.fromstring(f"<records>{text}</records>")
+    parts = [ET.parse(p).getroot() for p in sorted((tmp_path / "out").glob("part-*"))]
+    assert {p.tag for p in parts} == {"records"} and sum(len(p) for p in parts) == 2
+    root = [r for p in parts for r in p]
     assert [(f.get("name"), f.get("xml_tag"), f.text) for f in root[0].findall("field")] == [("author", "author", "x"), ("author", "author", None), ("author", "author", "y"), ("title", "t", "A & B <c>"), ("odd", "odd", '"q"')]
+    back = X.read_records(spark, f"file://{tmp_path}/out").orderBy("ord").collect()
+    assert [(r.record_id, r.record_type, r.fields, r.original_xml) for r in back] == [r[:4] for r in RECORDS]
 
 
 def test_csv_and_workbook(spark, tmp_path):
@@ -58,7 +66,14 @@ def test_csv_and_workbook(spark, tmp_path):
     assert headers == ["record_id", "record_type", "title", "author"]
     got = import_rows(rows, headers, mapping_of(headers, schema)[0], max_rows=5).orderBy("ord").collect()
     assert [r.fields for r in got] == [{"title": ["A & B <c>"], "author": ["x; ; y"]}, {}]
-    assert files.preview(spark, f"file://{tmp_path}/r.xlsx", 1)[1] == [["r1", "text", "A & B <c>", "x; ; y"]]
+    seen = files.preview(spark, f"file://{tmp_path}/r.xlsx", schema, 1)
+    assert seen.rows == [["r1", "text", "A & B <c>", "x; ; y"]] and seen.mapping == {"title": "title", "author": "author"} and seen.unknown == ["record_id", "record_type"]
+    writers.write_workbook(records, schema, tmp_path / "s.xlsx")
+    both = files.read_workbook(spark, f"file://{tmp_path}/*.xlsx")[1].orderBy("ord").collect()
+    assert [r.cells[0] for r in both] == ["r1", "r2", "r1", "r2"] and len({r.ord for r in both}) == 4
+    writers.write_workbook(records, Schema(fields=[Field("other")]), tmp_path / "t.xlsx")
+    with pytest.raises(ValueError):
+        files.read_workbook(spark, f"file://{tmp_path}/*.xlsx")
     assert flatten(records, schema).count() == 2
 
 
@@ -71,12 +86,35 @@ def test_generic_xml(spark, tmp_path):
     assert X.import_xml(spark, f"file://{tmp_path}/g.xml", schema, add_unknown=True).count() == 2 and schema.get("none") is not None
 
 
+def test_records_of_a_document():
+    for text, tags in (("<records><record/><x/></records>", ["record"]), ("<records><x/></records>", ["records"]), ("<a><b><record/></b></a>", ["record"]), ("<a><b><c/></b><d/><e><f/></e></a>", ["b", "e"]), ("<a><b/></a>", ["a"])):
+        assert [e.tag for e in X.record_elements(ET.fromstring(text))] == tags
+
+
+def test_import_by_root(spark, tmp_path):
+    """Files of every kind at once: nothing is doubled, whichever files records lie in, and ids are by the elements."""
+    project(spark, tmp_path / "a.xml", Schema(fields=[Field("title"), Field("pages")]))
+    writers.write_schema(Schema("more", fields=[Field("kind")]), tmp_path / "b.xml")
+    for name in "cde":
+        (tmp_path / f"{name}.xml").write_text(f"<!-- <schema> --><books><book record_id='r1'><title>{name}1</title><page_no>4</page_no></book><book><title>{name}2</title><text_id>t</text_id></book></books>")
+    empty = spark.createDataFrame([], RECORD_SCHEMA)
+    start = P.Project(Schema(fields=[Field("title"), Field("text_id")]), empty, spark.createDataFrame([], RELATION_SCHEMA))
+    got = P.import_documents(start, f"file://{tmp_path}/*.xml", add_unknown=True)
+    rows = got.records.orderBy("ord").collect()
+    assert [r.fields.get("title") for r in rows[2:]] == [["c1"], ["c2"], ["d1"], ["d2"], ["e1"], ["e2"]] and len({r.ord for r in rows}) == 8
+    assert [r.record_id for r in rows if not r.record_id.startswith("rec_")] == ["r1", "r2", "r1_2", "r1_3", "r1_4"] and len({r.record_id for r in rows}) == 8
+    assert got.schema.ids() == ["text_id", "title", "kind", "page_no", "pages"] or set(got.schema.ids()) == {"title", "text_id", "pages", "kind", "page_no"}
+    assert got.relations.count() == 1 and P.with_schema(got, Schema("x")).schema.schema_name == "x"
+
+
 def test_sources(spark, tmp_path):
     for name, content in (("a.txt", "中文".encode("gb18030")), ("b.html", b"<p>x</p>"), ("c.png", b"\x89PNG"), ("d.exe", b"MZ"), ("e.pdf", b"%PDF"), ("f.md", b"abcdefghij" * 3)):
         (tmp_path / name).write_bytes(content)
     rows = {r.path[-5:]: r for r in files.read_sources(spark, f"file://{tmp_path}/*", limit=20, pdf_reader=lambda c: ["one", " "]).collect()}
     assert rows["a.txt"].text == "中文" and rows[".html"].text == "x" and rows["c.png"].binary_base64 and rows["d.exe"].error
     assert rows["e.pdf"].text == "[PDF page 1]\none" and "truncated" in rows["/f.md"].warning
+    bare = {r.path[-5:]: r for r in files.read_sources(spark, f"file://{tmp_path}/[be]*").collect()}
+    assert "could not be read" in bare["e.pdf"].error and bare[".html"].text == "x"
     pages = files.fetch_pages(spark.createDataFrame([("http://x",), ("ftp://x",)], "url string"), lambda u: ("text/html; charset=nope", b"<p>hi</p>")).orderBy("url").collect()
     assert pages[1].text == "hi" and pages[0].error
 

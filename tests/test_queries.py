@@ -1,5 +1,4 @@
 import glob
-import json
 import os
 
 import duckdb
@@ -32,13 +31,5 @@ def test_query_equals_sql(spark, con, sf, name):
     assert got == canonical(names, cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
-
-
-def test_prompts_have_the_whole_text(spark, sf):
-    docs = {f"doc_{r.doc_id}": r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
-    got = {r.record_id: json.loads(r.prompt)["source"]["text"] for r in QUERIES["prompt_documents"](spark, sf).collect()}
-    limit = 60_000
-    assert got.keys() == docs.keys() and all(got[i] == t for i, t in docs.items() if len(t) <= limit) and all(len(x) <= limit + 100 for x in got.values())
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)

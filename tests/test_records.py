@@ -66,7 +66,7 @@ def fold(wanted, existing=()):
 NAMES = st.lists(st.sampled_from(["a", "a_2", "a_3", "a_2_2", "b", "b_2", "", "_2", "c_10"]), min_size=1, max_size=14)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(NAMES, NAMES)
 def test_unique_ids_equal_the_sequential_fold(spark, wanted, existing):
     new = rows_of(spark, *((w, {}) for w in wanted))
@@ -79,6 +79,23 @@ def test_unique_ids_examples(spark):
         assert [r.record_id for r in ids.unique_ids(rows_of(spark, *((w, {}) for w in wanted))).orderBy("ord").collect()] == expected
 
 
+def test_unique_ids_steps_over_gaps(spark):
+    """Copies of an id of which numbered forms exist, within a row and (beyond GAPS) in order; other records do not change."""
+    have = ["a", "a_3", "a_4", "a_7", "a_x", "b_2", "a_03", *[f"c_{i}" for i in range(2, 1500, 2)], "c"]
+    new = ["a", "a", "b", "b", "z_17", "z_18", *["a"] * 6, "c", "c", None, "order_1"]
+    old = rows_of(spark, *((w, {}) for w in have))
+    got = [r.record_id for r in ids.unique_ids(rows_of(spark, *((w, {"k": [str(i)]}) for i, w in enumerate(new))), old).orderBy("ord").collect()]
+    assert [x for x in got if x] == fold([w for w in new if w], have) and got[14] is None
+    many = [f"d_{i}" for i in range(2, 2500)] + ["d"]
+    assert [r.record_id for r in ids.unique_ids(rows_of(spark, ("d", {}), ("d", {"x": ["1"]})), rows_of(spark, *((w, {}) for w in many))).orderBy("ord").collect()] == ["d_2500", "d_2501"]
+
+
+def test_unique_ids_of_equal_places(spark):
+    """Records that share an ord are not doubled."""
+    rows = spark.createDataFrame([("a", "text", {}, "", 0), ("a", "text", {}, "", 0), ("b_2", "text", {}, "", 0), ("b", "text", {}, "", 0), ("b", "text", {}, "", 0)], RECORD_SCHEMA)
+    assert sorted(r.record_id for r in ids.unique_ids(rows).collect()) in (["a", "a_2", "b", "b_2", "b_3"], ["a", "a_2", "b", "b_2", "b_2_2"])
+
+
 def test_relations(spark):
     rel = spark.createDataFrame([("r1", "t", "a", "z", "", {}, 0), ("r2", "t", "", "b", "", {}, 1), ("r3", "t", "b", "b", "", {}, 2)], RELATION_SCHEMA)
     have = rows_of(spark, ("a", {}), ("b", {}))
@@ -118,6 +135,25 @@ def test_extractor_runs_on_executors(spark):
     assert (got.record_id, got.answer) == ("r", "True")
 
 
+def test_suggestion_rules():
+    s = Schema(fields=[Field("title", xml_tag="t")])
+    raw = {"schema_version": " 2 ", "corpus_type": None, "fields": [
+        {"label_zh": "页", "label_en": "Page No", "order": "x", "confidence": 3, "required": "是", "visible": 0, "controlled_values": "a\n b;;c", "action": "Replace"},
+        {"field_id": "other", "xml_tag": "page_no", "level": "nowhere", "data_type": "enum", "order": 0, "confidence": "high", "action": "drop"},
+        {"field_id": "title", "action": "replace"}, {}]}
+    got = extraction.suggestion(raw, s, "odd mode", "spoken")
+    assert (got.schema_name, got.schema_version, got.corpus_type, got.mode) == ("ai_generated_schema", "2", "spoken", extraction.EXTEND)
+    page, other, title, last = (c.field for c in got.candidates)
+    assert (page.field_id, page.label_zh, page.label_en, page.order, page.required, page.visible, page.controlled_values) == ("page_no", "页", "Page No", 1, True, False, ("a", "b", "c"))
+    assert (other.xml_tag, other.level, other.order, other.label_en) == ("other", "text", 2, "other") and last.field_id == "field_4"
+    assert [c.action for c in got.candidates] == ["replace", "add", "replace", "add"] and [c.confidence for c in got.candidates] == [1.0, 0.0, 0.0, 0.0]
+    assert got.warnings == ["other: Duplicate suggested xml_tag was replaced with field_id.", "other: Unsupported level 'nowhere' was changed to text.", "other: Enum field has no controlled_values."]
+    assert extraction.suggestion({"fields": 3}, s, "x").warnings == ["Model output did not contain a valid fields array."]
+    kept, n = extraction.apply_suggestion(s, got, replace_existing=True)
+    assert n == 4 and set(kept.ids()) == {"title", "page_no", "other", "field_4"} and kept.get("title").xml_tag == "title" and s.ids() == ["title"]
+    assert extraction.apply_suggestion(s, extraction.suggestion({"fields": []}, s, extraction.NEW)) == (s, 0)
+
+
 def test_schema_suggestion():
     s = Schema(fields=[Field("title", xml_tag="t")])
     raw = {"schema_name": "My Schema", "warnings": [" "], "fields": [{"field_id": "Title"}, {"label_en": "New Field", "xml_tag": "t", "data_type": "odd", "level": "x"}, {"field_id": "kind", "data_type": "enum", "controlled_values": "a; b"}, 3, {"field_id": "kind"}]}
@@ -134,6 +170,10 @@ def test_multivalue_warnings(spark):
     rows = spark.createDataFrame([(["1", "x", "x", " "],), (None,)], "v array<string>")
     f = Field("f", data_type="integer", repeatable=True)
     assert [tuple(r.c) for r in rows.select(coerce_values(f, F.col("v")).alias("c")).collect()] == [(["1"], "Discarded invalid integer value: x"), ([], "")]
+    one = spark.createDataFrame([(["1"], True), (["1"], False), (["x"], True)], "v array<string>, l boolean")
+    said = [r.c.warning for r in one.select(coerce_values(Field("f", data_type="integer"), F.col("v"), F.col("l")).alias("c")).collect()]
+    many = "Multiple values returned for a non-repeatable field; kept the first non-empty value."
+    assert said == [many, "", f"{many} Discarded invalid integer value: x"]
 
 
 def test_form_defaults_and_edits(spark):
