@@ -16,6 +16,7 @@ A line's node is a hash of 64 bits; of n distinct lines n * n / 4e19 pairs would
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,45 +24,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaframe.llm.components import components, local_forest
-from metaframe.llm.kernels import U64, WHITE, Texts, batches, int64, list_array, mix, span_hashes, trim
+from metaframe.llm.kernels import BYTE_VALUES, LOWER, U64, WHITE, Texts, batches, int64, list_array, mix, span_hashes, trim
 from metaframe.llm.shared import small, written
 
 SHINGLE = 8
 # Lines link when 10 * intersection >= 8 * union, a similarity of 0.8.
 BANDS, ROWS = 10, 4
 #: Shingles that are signed at once, and hashes of lines that a task remembers to have signed.
-PIECE, SEEN = 1 << 19, 300_000
+PIECE, SEEN = 1 << 17, 300_000
+#: Most lines whose shingles are sorted together.
+LINES = 1 << 13
 #: Most lines of a block in which all are compared, and most characters, about.
 BLOCK, BLOCK_CHARS = 256, 1 << 18
 _SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)).astype(np.uint32) | np.uint32(1)
 
 
 class Lines:
-    """The lines of a batch of texts as code points without white space, A-Z lowered; line i is points[start[i]:end[i]]."""
+    """The lines of a batch of texts without white space, A-Z lowered: line i is the bytes data[start[i]:end[i]], and the code points points[first[i]:last[i]]."""
 
     def __init__(self, column: pa.Array):
         texts = Texts(column)
         raw = texts.bytes
-        points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32).copy()
-        lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int64)))
-        cuts = lead[texts.offsets]  # documents' bounds in code points
-        del lead
-        breaks = np.flatnonzero(points == 10)
-        starts = np.sort(np.concatenate([cuts[:-1], breaks + 1]), kind="stable")
-        ends = np.sort(np.concatenate([cuts[1:], breaks]), kind="stable")
-        points[(points >= 65) & (points <= 90)] += 32
-        solid = ~((points < 33) & WHITE[np.minimum(points, 255)])
+        breaks = np.flatnonzero(raw == 10)
+        starts = np.sort(np.concatenate([texts.offsets[:-1], breaks + 1]), kind="stable")
+        ends = np.sort(np.concatenate([texts.offsets[1:], breaks]), kind="stable")
+        solid = ~WHITE[raw]
         rank = np.concatenate(([0], np.cumsum(solid, dtype=np.int64)))
-        self.points, self.start, self.end = points[solid], rank[starts], rank[ends]
-        per_doc = np.diff(np.searchsorted(breaks, cuts)) + 1
+        self.data, self.start, self.end = LOWER[raw[solid]], rank[starts], rank[ends]
+        per_doc = np.diff(np.searchsorted(breaks, texts.offsets)) + 1
         self.doc = np.repeat(np.arange(len(texts)), per_doc)
         self.number = np.arange(len(starts)) - np.repeat(np.concatenate(([0], np.cumsum(per_doc)[:-1])), per_doc)
+        lead = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80, dtype=np.int64)))
+        self.first, self.last = lead[self.start], lead[self.end]
+        self.size = int(lead[-1])
 
     def filled(self) -> np.ndarray:
         return np.flatnonzero(self.end > self.start)
 
+    def with_shingles(self) -> np.ndarray:
+        return np.flatnonzero(self.last - self.first >= SHINGLE)
+
     def hashes(self, lines: np.ndarray) -> np.ndarray:
-        return span_hashes(self.points, self.start[lines], self.end[lines])
+        return span_hashes(self.data, self.start[lines], self.end[lines], BYTE_VALUES)
+
+    @cached_property
+    def points(self) -> np.ndarray:
+        found = np.frombuffer(self.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+        return found if len(found) == self.size else self.data[(self.data & 0xC0) != 0x80].astype(np.uint32)  # what is no UTF-8
 
     def rolled(self, lo: int, hi: int) -> np.ndarray:
         """The hash of the shingle that begins at each of these characters."""
@@ -74,13 +83,13 @@ class Lines:
         return mix(out)
 
     def keys(self, lines: np.ndarray) -> np.ndarray:
-        """The BANDS keys of each line, which has SHINGLE characters or more. Long lines are signed in pieces."""
-        width = self.end[lines] - self.start[lines] - SHINGLE + 1
+        """The BANDS keys of each line, which has SHINGLE characters or more. Lines are signed in pieces of bounded size."""
+        width = self.last[lines] - self.first[lines] - SHINGLE + 1
         many = -(-width // PIECE)
-        first = np.cumsum(many) - many
-        begin = np.repeat(self.start[lines], many) + (np.arange(many.sum()) - np.repeat(first, many)) * PIECE
-        size = np.minimum(np.repeat(self.start[lines] + width, many) - begin, PIECE)
-        least = np.empty((len(begin), BANDS * ROWS), dtype=np.uint32)
+        lead = np.cumsum(many) - many
+        begin = np.repeat(self.first[lines], many) + (np.arange(many.sum()) - np.repeat(lead, many)) * PIECE
+        size = np.minimum(np.repeat(self.first[lines] + width, many) - begin, PIECE)
+        least = np.empty((BANDS * ROWS, len(begin)), dtype=np.uint32)
         i = 0
         while i < len(begin):
             j = max(i + 1, int(np.searchsorted(begin, begin[i] + PIECE)))
@@ -89,18 +98,30 @@ class Lines:
             at = np.repeat(begin[i:j] - lo - place, size[i:j]) + np.arange(size[i:j].sum())
             h = self.rolled(lo, hi)[at]
             low, high = h.astype(np.uint32), (h >> U64(32)).astype(np.uint32)
+            own = np.empty_like(low)
             for k, salt in enumerate(_SALTS):
-                least[i:j, k] = np.minimum.reduceat((low * salt) ^ high, place)
+                np.multiply(low, salt, out=own)
+                np.bitwise_xor(own, high, out=own)
+                np.minimum.reduceat(own, place, out=least[k, i:j])
             i = j
-        least = np.minimum.reduceat(least, first, axis=0) if len(first) else least
-        keys = np.zeros((len(lines), BANDS), dtype=U64)
+        if len(begin) > len(lines):
+            least = np.minimum.reduceat(least, lead, axis=1)
+        keys = np.empty((len(lines), BANDS), dtype=U64)
         for band in range(BANDS):
             key = np.full(len(lines), U64(band + 1))
             for row in range(ROWS):
-                key = mix(key ^ least[:, band * ROWS + row].astype(U64))
+                key = mix(key ^ least[band * ROWS + row].astype(U64))
             keys[:, band] = key
         return keys
 
+    def sets(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct shingles of all lines, in 50 bits, and the lines' bounds. At most LINES lines."""
+        width = np.maximum(self.last - self.first - SHINGLE + 1, 0)
+        line = np.repeat(np.arange(len(width)), width)
+        at = np.repeat(self.first - np.cumsum(width) + width, width) + np.arange(len(line))
+        key = np.unique((line.astype(U64) << U64(50)) | (self.rolled(0, self.size)[at] >> U64(14)))
+        return key & U64((1 << 50) - 1), np.searchsorted(key, np.arange(len(width) + 1, dtype=U64) << U64(50))
+
 
 def _signatures(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each filled line's hash; its keys where the task meets it first, if it has a shingle."""
@@ -116,7 +137,7 @@ def _signatures(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new[i] = True
         if len(seen) > SEEN:
             seen.clear()
-        new &= lines.end[own] - lines.start[own] >= SHINGLE
+        new &= lines.last[own] - lines.first[own] >= SHINGLE
         keys = lines.keys(own[new])
         ids = batch.column(0).take(pa.array(lines.doc[own]))
         yield pa.record_batch([ids, pa.array(lines.number[own].astype(np.int64)), int64(hashes), list_array(keys.ravel(), np.concatenate(([0], np.cumsum(new))) * BANDS)], names=["id", "line", "hash", "keys"])
@@ -127,32 +148,25 @@ def _squeezed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches(stream, 1 << 20):
         lines = Lines(batch.column(0))
-        own = np.flatnonzero(lines.end - lines.start >= SHINGLE)
+        own = lines.with_shingles()
         own = own[[h not in seen and not seen.add(h) for h in lines.hashes(own).tolist()]] if len(own) else own
         if len(seen) > SEEN:
             seen.clear()
-        points = lines.points
-        data = points.tobytes().decode("utf-32-le").encode()
-        at = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF))))
-        chars = pa.LargeStringArray.from_buffers(len(lines.start), pa.py_buffer(at[np.append(lines.start, lines.end[-1:])].tobytes()), pa.py_buffer(data))
+        chars = pa.LargeStringArray.from_buffers(len(lines.start), pa.py_buffer(np.append(lines.start, lines.end[-1:]).tobytes()), pa.py_buffer(lines.data.tobytes()))
         yield pa.record_batch([int64(lines.hashes(own)), chars.take(pa.array(own)).cast(pa.string())], names=["hash", "chars"])
 
 
-def _sets(column: pa.Array) -> list[np.ndarray]:
-    """The sorted distinct shingles of each squeezed line."""
-    lines = Lines(column)
-    return [np.unique(lines.rolled(a, b - SHINGLE + 1)) for a, b in zip(lines.start.tolist(), lines.end.tolist(), strict=True)]
-
-
 def _verified(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """u, v and both lines' characters: the pairs that link."""
-    for batch in batches(stream, 1 << 19, "left"):
-        keep = []
-        for a, b in zip(_sets(batch.column(2)), _sets(batch.column(3)), strict=True):
-            same = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(10 * same >= 8 * (len(a) + len(b) - same))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
+    for whole in batches(stream, 1 << 19, "left"):
+        for at in range(0, whole.num_rows, LINES):
+            batch = whole.slice(at, LINES)
+            (a, a_at), (b, b_at) = Lines(batch.column(2)).sets(), Lines(batch.column(3)).sets()
+            place = lambda bounds: np.repeat(np.arange(batch.num_rows, dtype=U64) << U64(50), np.diff(bounds))  # noqa: E731, B023
+            both = np.sort(np.concatenate([a | place(a_at), b | place(b_at)]))
+            same = np.bincount((both[1:][both[1:] == both[:-1]] >> U64(50)).astype(np.int64), minlength=batch.num_rows)
+            mask = pa.array(10 * same >= 8 * (np.diff(a_at) + np.diff(b_at) - same))
+            yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
 
 def _compared(root: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +206,9 @@ def _block_links(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sets: list[np.ndarray] = []
     for batch in stream:
         t = pa.Table.from_batches([batch])
-        sets += _sets(batch.column(4))
+        for at in range(0, batch.num_rows, LINES):
+            values, bounds = Lines(batch.column(4).slice(at, LINES)).sets()
+            sets += np.split(values, bounds[1:-1])
         rest = t.drop(["chars"]) if rest is None else pa.concat_tables([rest, t.drop(["chars"])])
         last = 0
         for c in np.flatnonzero(np.diff(rest.column("block").to_numpy())) + 1:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-_made: list[str] = []
+from metaframe.scratch import clear, fresh_path, shared_dir, written
+
+__all__ = ["bounded", "clear", "fresh_path", "shared_dir", "small", "table", "written"]
+
 #: Most bytes of a table that is broadcast; beyond it joins shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -25,38 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see. A folder of this machine serves only a local master that names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="metaframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    _made.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
-    return _made[-1]
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes what this process has written to the shared folder; frames that read it are of no use afterwards."""
-    jvm = spark._jvm
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: later steps neither compute it again nor depend on any executor's disk."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _bytes(df: DataFrame) -> Column:
     """The bytes of a row as Spark holds it: 8 for each column and row, and what strings and arrays have besides."""
     width = F.lit(8 + 8 * len(df.columns))

@@ -43,14 +43,15 @@ AWKWARD = [None, "", " \n ", "one", "One two", "one two three", "one two three",
 
 
 def test_written_tables_can_be_cleared(spark):
+    from metaframe import scratch
     from metaframe.llm import shared
 
     made = shared.written(spark.range(3), "test")
     assert made.count() == 3 and shared.fresh_path(spark, "x").startswith(shared.shared_dir(spark))
     place = made.inputFiles()[0].removeprefix("file://")
-    kept, shared._made[:] = shared._made[:-2], shared._made[-2:]
+    kept, scratch._made[:] = scratch._made[:-2], scratch._made[-2:]
     shared.clear(spark)
-    shared._made[:] = kept
+    scratch._made[:] = kept
     assert not os.path.exists(place)
 
 
@@ -221,7 +222,7 @@ def test_line_dedup(spark):
 
 def test_signatures_of_long_lines_are_those_of_their_pieces(monkeypatch):
     lines = line_dedup.Lines(pa.array(["\n".join(" ".join(prose(i, n)) for i, n in enumerate((3, 900, 4, 60, 2000)))]))
-    own = np.flatnonzero(lines.end - lines.start >= line_dedup.SHINGLE)
+    own = lines.with_shingles()
     whole = lines.keys(own)
     for piece in (7, 100, 3001):
         monkeypatch.setattr(line_dedup, "PIECE", piece)
