@@ -100,7 +100,8 @@ def _scanner(windows: Windows, last: bool) -> Callable[[Iterator[pa.RecordBatch]
                     np.add.at(edge, first[d] + s[:, 0] + s[:, 1], -1)
             hit = np.concatenate(([0], np.cumsum(np.cumsum(edge[:n]) > 0)))
             n_hit, n_words = hit[first[1:]] - hit[first[:-1]], np.diff(first)
-            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+            items = [sorted(set(x)) for x in items]  # rows that repeat an id are one item
+            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield pa.record_batch([batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array((n_hit > 0) & (20 * n_hit >= n_words))], names=["row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return scan
@@ -113,7 +114,9 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     occurrence of a window, n_items the items with an occurring window, and items_sha256 is the digest of
     their ids, sorted as strings and joined by commas (of the empty string if none). A document is
     contaminated when n_hit > 0 and 20 * n_hit >= n_words. Null and empty texts have no words; items without
-    words have no windows; a null item id is written as the empty string; repeated rows each get a row.
+    words have no windows; a null item id is written as the empty string; item rows that repeat an id are one item
+    with the windows of all of them. Repeated documents each get a row, an empty table gives none, and other columns
+    may have any name. Words are compared by 64-bit hashes, one by one for each word of a window.
     """
     row_type = f"row {docs.select(F.struct(*[f'`{c}`' for c in docs.columns]).alias('row')).schema['row'].dataType.simpleString()}"
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))

@@ -29,6 +29,8 @@ from metaframe.llm.shared import small, written
 SHINGLE = 3
 #: Sets link when 100 * intersection >= 90 * union, that is, when 19 * difference <= a + b.
 DIFFERENCE = 19
+#: The smallest set that may link with one that is not equal: with one of a member more, 19 * 1 <= 9 + 10.
+LEAST = 9
 BITS = 512
 #: Most nodes of a block in which all pairs' signatures are compared.
 BLOCK = 256
@@ -54,9 +56,12 @@ def slices_of(band: int) -> int:
 
 
 def tile_keys(values: np.ndarray) -> np.ndarray:
-    """The tiles of one sorted set. A set meets those of its own band and, if near its low end, those of the band below."""
+    """The tiles of one sorted set. A set meets those of its own band and, if near its low end, those of the band below.
+
+    A set of less than LEAST members links with equal ones alone, which are one node, so it is in no tile.
+    """
     n = len(values)
-    if n == 0:
+    if n < LEAST:
         return np.zeros(0, U64)
     own = int(np.searchsorted(_BANDS, n, side="right")) - 1
     out = []

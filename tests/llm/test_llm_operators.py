@@ -102,6 +102,16 @@ def test_ngram_join(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in got.items() if i == c) and len(kept.columns) == 9
 
 
+def test_ngram_join_of_short_documents(spark):
+    """100,000 documents of one common shingle link with equal ones alone, and are in no tile; from 9 shingles on one may differ."""
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("thank you for item"), (F.col("id") % 60_000).cast("string")).alias("text"))
+    got = ngram_join.ngram_groups(docs)
+    assert got.agg(F.sum((F.col("component_id") != F.col("doc_id") % 60_000).cast("int")), F.count("*"), F.max("n_shingles")).first()[:] == (0, 100_000, 2)
+    base = prose(1, 12)
+    texts = [" ".join(base[:n]) for n in (12, 11, 10, 9)]  # 10, 9, 8 and 7 shingles
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_groups(frame(spark, texts)).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 def test_ngram_join_with_repeated_and_null_ids(spark):
     got = ngram_join.ngram_groups(frame(spark, ["a b c d", "a b c d", None, "z"], [3, None, None, 3])).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == [("3", 1, "3"), ("3", 2, "3"), ("None", 0, "None"), ("None", 2, "3")]
@@ -179,6 +189,20 @@ def test_chat(spark):
     assert chat.read_back(chat.format_turns(df.limit(0), tokenizer_path()), tokenizer_path()).count() == 0
 
 
+def test_decontamination_of_repeated_items(spark):
+    """Rows of one item id are one item, in one block of items and in several."""
+    items = spark.createDataFrame([("a", " ".join(prose(1, 14))), ("a", " ".join(prose(2, 14))), ("b", " ".join(prose(1, 14))), ("a", None)], "item_id string, text string")
+    docs = frame(spark, [" ".join(prose(1, 14) + prose(2, 14)), " ".join(prose(2, 14)), "x"])
+    for limit in (decontaminate.BLOCK_BYTES, 60):
+        before, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, limit
+        try:
+            got = {r.row.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(docs, items).collect()}
+        finally:
+            decontaminate.BLOCK_BYTES = before
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert got == {0: (28, 2, digest("a,b")), 1: (14, 1, digest("a")), 2: (0, 0, digest(""))}
+
+
 def test_decontamination(spark):
     item, short = prose(1, 20), prose(2, 4)
     texts = AWKWARD + [" ".join(prose(3, 50) + item[2:18] + prose(4, 30)), " ".join(item[:12]), " ".join(short).upper() + ".", " ".join(prose(5, 900) + short)]
