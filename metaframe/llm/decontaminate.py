@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaframe.llm.kernels import NOT_ALNUM, U64, Texts, batches
+from metaframe.llm.shared import with_row
 
 WINDOW = 13
 #: Most bytes of item texts in one block.
@@ -118,7 +119,6 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     with the windows of all of them. Repeated documents each get a row, an empty table gives none, and other columns
     may have any name. Words are compared by 64-bit hashes, one by one for each word of a window.
     """
-    row_type = f"row {docs.select(F.struct(*[f'`{c}`' for c in docs.columns]).alias('row')).schema['row'].dataType.simpleString()}"
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = 1 + size // BLOCK_BYTES
@@ -133,5 +133,5 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
             rows = docs.select(F.col(text_col).alias("text")).mapInArrow(_counter(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # bounded by the block's words
             counts = {r.word & 0xFFFFFFFFFFFFFFFF: r.n for r in rows}
         last = b == blocks - 1
-        out = out.mapInArrow(_scanner(Windows(names, texts, counts), last), f"{row_type}, {_RESULT}" if last else f"{row_type}, text string, spans array<long>, items array<string>")
+        out = out.mapInArrow(_scanner(Windows(names, texts, counts), last), with_row(out.schema["row"].dataType, _RESULT if last else "text string, spans array<long>, items array<string>"))
     return out

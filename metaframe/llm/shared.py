@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructField, StructType
 
 from metaframe.scratch import clear, fresh_path, shared_dir, written
 
-__all__ = ["bounded", "clear", "fresh_path", "shared_dir", "small", "table", "written"]
+__all__ = ["bounded", "clear", "fresh_path", "shared_dir", "small", "table", "with_row", "written"]
 
 #: Most bytes of a table that is broadcast; beyond it joins shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row(row: DataType, rest: str) -> StructType:
+    """The schema of a struct `row`, whose fields may have any name, and other columns."""
+    return StructType([StructField("row", row), *StructType.fromDDL(rest).fields])
+
+
 def _bytes(df: DataFrame) -> Column:
     """The bytes of a row as Spark holds it: 8 for each column and row, and what strings and arrays have besides."""
     width = F.lit(8 + 8 * len(df.columns))

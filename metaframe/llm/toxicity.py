@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaframe.llm.kernels import BYTE_VALUES, NOT_ALNUM, Texts, Words, batches, byte_class, span_hashes
+from metaframe.llm.shared import with_row
 
 #: Most labelled rows of each class that fitting reads, chosen by the hash of their ids.
 SAMPLE = 5000
@@ -280,4 +281,4 @@ def scored(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFra
             yield pa.record_batch([batch.column(0), pa.array(grammar.scores(Texts(batch.column(1))))], names=["row", "score"])
 
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(score, with_row(rows.schema["row"].dataType, "score double"))

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from metaframe.llm import chat, decontaminate, html_extract, line_dedup, lm, ngram_join, packing, quality, toxicity, warc
 from metaframe.llm.components import components
 from metaframe.llm.stages import tokenizer_path
+from plain_versions import LOW, contaminated, jaccard_groups, line_removals, words
 
 DOCS = "doc_id long, text string, source string, n_words long, component_id string, score int, row int, id int, keys int"
-LOW = {c: c + 32 for c in range(65, 91)}
 NONE = np.zeros(0, np.uint64)
 
 
@@ -30,10 +30,6 @@ def frame(spark, texts, ids=None, source="s"):
     return spark.createDataFrame([(i, t, source, 1, "x", 2, 3, 4, 5) for i, t in zip(ids, texts, strict=True)], DOCS)
 
 
-def words(t):
-    return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
-
-
 def prose(seed, n):
     r = random.Random(seed)
     return [f"{r.choice('abcdefgh')}{r.choice('rstuv')}{r.randrange(40)}" for _ in range(n)]
@@ -76,22 +72,6 @@ def near_copies():
     return out + [out[0], out[5]]
 
 
-def jaccard_groups(texts, ids):
-    sets = []
-    for t in texts:
-        w = words(t)
-        sets.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
-    low = {i: i for i in ids}
-    find = lambda i: i if low[i] == i else find(low[i])
-    for a in range(len(ids)):
-        for b in range(a):
-            same = len(sets[a] & sets[b])
-            if same and 100 * same >= 90 * len(sets[a] | sets[b]):
-                x, y = find(ids[a]), find(ids[b])
-                low[max(x, y)] = min(x, y)
-    return {i: (len(s), find(i)) for i, s in zip(ids, sets, strict=True)}
-
-
 def test_ngram_join(spark):
     texts = AWKWARD + near_copies()
     ids = random.Random(1).sample(range(1000), len(texts))
@@ -207,20 +187,8 @@ def test_decontamination(spark):
     item, short = prose(1, 20), prose(2, 4)
     texts = AWKWARD + [" ".join(prose(3, 50) + item[2:18] + prose(4, 30)), " ".join(item[:12]), " ".join(short).upper() + ".", " ".join(prose(5, 900) + short)]
     items = spark.createDataFrame([(7, " ".join(item)), (10, "! ".join(short)), (9, None), (None, "..."), (10, " ".join(short))], "item_id long, text string")
-    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
-
-    def expected(t):
-        w, hit, found = word(t), set(), set()
-        for i, text in ((7, " ".join(item)), (10, " ".join(short))):
-            iw = word(text)
-            k = min(13, len(iw))
-            for a in range(len(iw) - k + 1):
-                for b in range(len(w) - k + 1):
-                    if w[b : b + k] == iw[a : a + k]:
-                        hit |= set(range(b, b + k))
-                        found.add(str(i))
-        return len(w), len(hit), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
-
+    plain = [(7, " ".join(item)), (10, " ".join(short))]
+    expected = lambda t: contaminated(t, plain)
     for limit in (decontaminate.BLOCK_BYTES, 60):  # in one block, and in several
         before, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, limit
         try:
@@ -255,28 +223,7 @@ def test_signatures_of_long_lines_are_those_of_their_pieces(monkeypatch):
 
 def test_line_dedup_equals_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    squeeze = lambda x: re.sub(r"[\x20\x09-\x0D]", "", x.translate(LOW))
-    found, where = {}, []
-    for i, t in docs.orderBy("doc_id").collect():
-        for k, line in enumerate(t.split("\n")):
-            q = squeeze(line)
-            if q:
-                where.append((i, k, q))
-                found.setdefault(q, {q[j : j + 8] for j in range(len(q) - 7)})
-    names = list(found)
-    low = {q: q for q in names}
-    find = lambda q: q if low[q] == q else find(low[q])
-    holders = collections.defaultdict(list)
-    for q in names:
-        for other, n in collections.Counter(o for s in found[q] for o in holders[s]).items():
-            if 10 * n >= 8 * len(found[q] | found[other]) and find(q) != find(other):
-                low[find(q)] = find(other)
-        for s in found[q]:
-            holders[s].append(q)
-    first, gone = {}, collections.defaultdict(list)
-    for i, k, q in where:
-        if first.setdefault(find(q), (i, k)) != (i, k):
-            gone[i].append(k)
+    gone = line_removals([(r.doc_id, r.text) for r in docs.collect()])
     got = {r.id: r.gone for r in line_dedup.removals(docs).collect()}
     right = sum(len(set(gone[i]) & set(got.get(i, []))) for i in gone)
     assert right >= 0.98 * sum(map(len, gone.values())) and sum(map(len, got.values())) == right

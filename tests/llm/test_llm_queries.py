@@ -1,8 +1,14 @@
+import collections
 import glob
 import os
+import shutil
+import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from metaframe.llm.queries import QUERIES, SQL
 
@@ -30,25 +36,59 @@ def test_query_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
-def test_pipeline_equals_its_stages_one_by_one(spark, sf):
-    """run() against the stages' operators, joined by plain filters on collected results."""
+def test_pipeline_equals_a_plain_version(spark, sf):
+    """run() against plain versions of all stages; of toxicity, the learned grammar's scores of the texts."""
     import corpus_pipeline
-    from metaframe.llm import decontaminate, line_dedup, ngram_join, toxicity
-    from metaframe.llm.packing import pack_documents
+    from metaframe.llm import toxicity
     from metaframe.llm.stages import tokenizer_path
+    from plain_versions import contaminated, jaccard_groups, line_removals
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     grammar = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    rows = {r.row.doc_id: r.row.asDict() for r in toxicity.scored(docs, grammar).collect() if r.score < toxicity.THRESHOLD}
-    frame = lambda: spark.createDataFrame([tuple(r.values()) for r in rows.values()], docs.schema)
-    gone = {r.id: set(r.gone) for r in line_dedup.removals(frame()).collect()}
-    for i, lines in gone.items():
-        rows[i]["text"] = "\n".join(x for k, x in enumerate(rows[i]["text"].split("\n")) if k not in lines)
-    rows = {i: r for i, r in rows.items() if i not in gone or r["text"]}
-    groups = {r.doc_id: r.component_id for r in ngram_join.ngram_groups(frame()).collect()}
-    rows = {i: r for i, r in rows.items() if groups[i] == i}
-    bad = {r.row.doc_id for r in decontaminate.contamination(frame(), spark.read.parquet(f"{sf}/benchmark.parquet")).collect() if r.contaminated}
-    rows = {i: r for i, r in rows.items() if i not in bad}
-    pick = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
-    expected = sorted(tuple(r) for r in pack_documents(frame(), tokenizer_path()).select(*pick).collect())
-    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).select(*pick).collect()) == expected
+    rows = docs.select("doc_id", "text").collect()
+    scores = grammar.scores(toxicity.Texts(pa.array([r.text for r in rows])))
+    texts = {r.doc_id: r.text for r, s in zip(rows, scores, strict=True) if s < toxicity.THRESHOLD}
+    for i, lines in line_removals(list(texts.items())).items():
+        texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in lines) or None
+    texts = {i: t for i, t in texts.items() if t is not None}
+    ids = sorted(texts)
+    groups = jaccard_groups([texts[i] for i in ids], ids)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    texts = {i: t for i, t in texts.items() if groups[i][1] == i and not contaminated(t, items)[3]}
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    got = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    assert set(got) == set(texts) and len(texts) > 100
+    for i, t in texts.items():
+        tokens = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], dtype="<u4")
+        at = 0
+        for start, length, crc, n in sorted(got[i]):
+            assert (start, n, crc) == (at, len(tokens), zlib.crc32(tokens[at : at + length].tobytes()))
+            at += length
+        assert at == len(tokens)
+
+
+def test_stages_of_odd_tables(spark, tmp_path, sf):
+    """Nulls, empty texts and tables, repeated rows, and columns with clashing and dotted names pass all stages."""
+    import corpus_pipeline
+
+    shutil.copytree(sf, tmp_path / "sf")
+    rows = [(1, None, "a", 0), (2, "", "b", 0), (None, "no id here", "c", 1), (3, "the same text of some few words", "d", 2), (3, "the same text of some few words", "d", 2)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, row int").withColumns({c: F.lit(1) for c in ("id", "gone", "score", "n_chars", "_id", "keys")})
+    for docs, left in ((odd, {1, 2, 3, None}), (odd.limit(0), set())):
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs.columns, stage(spark, docs, f"{tmp_path}/sf")
+            assert name == "packing" or docs.columns == before
+            assert {r.doc_id for r in docs.collect()} == left
+
+
+def test_empty_tables(spark, tmp_path, sf):
+    """Every query on tables without rows; conversations have the trap alone."""
+    import corpus_pipeline
+
+    for p in glob.glob(f"{sf}/*.parquet"):
+        spark.read.parquet(p).limit(0).write.parquet(f"file://{tmp_path}/{os.path.basename(p)}")
+    for name, f in (QUERIES | {"pipeline": corpus_pipeline.run}).items():
+        assert f(spark, f"file://{tmp_path}").count() == (name == "op4_chat_format"), name
