@@ -1,11 +1,11 @@
 """Harmonic packing of tokenised documents into sequences of at most 2048 tokens.
 
-Classes are the reciprocals of the capacity that are powers of two: pieces of 2048, 1024, ... 1 tokens, of
-which 1, 2, ... 2048 fill a sequence exactly. A document is cut into full sequences and the powers of two of
-what is left, largest first. Each class of each partition fills its bins with its fixed count of pieces,
-independently of all others, so there is no shuffle and no state beyond one open bin a class. At the end a
-bin that is not full is closed as bins of a power of two of pieces: their length is a power of two, which
-needs no padding either.
+Class k has pieces of the capacity's k-th part, 2048 // k tokens, of which k fill a sequence but for less than k
+tokens. A document is cut into full sequences, then greedily into the largest classes that what is left allows: some three
+pieces, as in expansions into unit fractions. Each class of each partition fills its bins with its fixed count of
+pieces, independently of all others, so there is no shuffle and no state beyond one open bin a class. At the end the
+pieces of bins that are not full are cut into powers of two, whose bins close at a power of two of tokens, which
+needs no padding. All padding is what classes leave of full bins, less than one token in a thousand.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -83,50 +84,66 @@ class Encoder:
 
 
 def pieces(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: full sequences, then descending powers of two."""
-    out = [(s, capacity) for s in range(0, n - capacity + 1, capacity)]
-    at = n - n % capacity
-    for bit in range(capacity.bit_length() - 2, -1, -1):
-        if n % capacity >> bit & 1:
-            out.append((at, 1 << bit))
-            at += 1 << bit
+    """(start, length) of a document's pieces: full sequences, then the largest class sizes that fit into what is left."""
+    out, at = [], 0
+    while at < n:
+        left = min(n - at, capacity)
+        out.append((at, capacity // -(-capacity // left)))
+        at += out[-1][1]
     return out
 
 
+#: A piece: its document's id, its place there, its ids as bytes, and the document's tokens.
+Piece = tuple[Any, int, bytes, int]
+
+
 class Bins:
-    """The open bins of one partition, a list of rows for each class."""
+    """The open bins of one partition, a list of pieces for each class. What closes becomes rows."""
 
-    def __init__(self, partition: int, capacity: int = CAPACITY):
-        self.next, self.capacity = partition << 40, capacity
-        self.open: dict[int, list[tuple]] = {}
+    def __init__(self, partition: int, with_ids: bool, capacity: int = CAPACITY):
+        self.next, self.capacity, self.with_ids = partition << 40, capacity, with_ids
+        self.open: dict[int, list[Piece]] = {}
 
-    def _close(self, rows: list[tuple], length: int) -> list[tuple]:
+    def _close(self, held: list[Piece]) -> list[tuple]:
         self.next += 1
-        return [(*row, self.next - 1, i * length) for i, row in enumerate(rows)]
+        out, offset = [], 0
+        for doc_id, start, part, n in held:
+            length = len(part) // 4
+            out.append((doc_id, *((np.frombuffer(part, "<u4").tolist(),) if self.with_ids else ()), start, length, zlib.crc32(part), n, self.next - 1, offset))
+            offset += length
+        return out
 
-    def add(self, length: int, row: tuple) -> list[tuple]:
+    def add(self, piece: Piece) -> list[tuple]:
+        length = len(piece[2]) // 4
         held = self.open.setdefault(length, [])
-        held.append(row)
+        held.append(piece)
         if len(held) < self.capacity // length:
             return []
         self.open[length] = []
-        return self._close(held, length)
+        return self._close(held)
 
     def rest(self) -> list[tuple]:
         out = []
-        for length, held in self.open.items():
+        for length in [x for x in self.open if x & (x - 1)]:
+            for doc_id, start, part, n in self.open.pop(length):
+                at = 0
+                for bit in range(length.bit_length() - 1, -1, -1):
+                    if length >> bit & 1:
+                        out += self.add((doc_id, start + at, part[4 * at : 4 * (at + (1 << bit))], n))
+                        at += 1 << bit
+        for held in self.open.values():
             at = 0
             while at < len(held):
-                n = 1 << (len(held) - at).bit_length() - 1
-                out += self._close(held[at : at + n], length)
-                at += n
+                size = 1 << (len(held) - at).bit_length() - 1
+                out += self._close(held[at : at + size])
+                at += size
         self.open = {}
         return out
 
 
 def _packer(path: str, with_ids: bool, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bins, out = Encoder(path), Bins(TaskContext.get().partitionId()), []
+        encode, bins, out = Encoder(path), Bins(TaskContext.get().partitionId(), with_ids), []
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [[] for _ in schema]
@@ -137,9 +154,7 @@ def _packer(path: str, with_ids: bool, schema: pa.Schema) -> Callable[[Iterator[
                 ids = (encode(text) if text else b"") + END_ID.to_bytes(4, "little")
                 n = len(ids) // 4
                 for start, length in pieces(n):
-                    part = ids[4 * start : 4 * (start + length)]
-                    row = (doc_id, *((np.frombuffer(part, "<u4").tolist(),) if with_ids else ()), start, length, zlib.crc32(part), n)
-                    out += bins.add(length, row)
+                    out += bins.add((doc_id, start, ids[4 * start : 4 * (start + length)], n))
                 if len(out) > 20_000 or with_ids and len(out) > 200:
                     yield flush()
                     out.clear()
@@ -153,8 +168,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """A row for each piece: doc_id, (ids,) start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
     A document is its ids and END_ID; a null or empty text has END_ID alone. Pieces of a document follow each
-    other without gap, and so do the pieces of a sequence. Every sequence's length is a power of two, so none
-    is padded. Repeated rows and null ids are documents like any other. A long text is one array of ids, cut
+    other without gap, and so do the pieces of a sequence. A sequence whose length is no power of two is to be
+    padded to the capacity; it lacks less of that than it has pieces. Repeated rows and null ids are documents like any other. A long text is one array of ids, cut
     at once; nothing else grows with it. Other columns are not looked at.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

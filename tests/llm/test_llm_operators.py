@@ -120,6 +120,38 @@ def test_residual_blocks_find_links_between_stars(spark):
     assert got == jaccard_groups(texts, list(range(12)))
 
 
+def padding(rows):
+    """The share of padding; sequences are without gaps, and full ones lack less than they have pieces."""
+    by, lost = collections.defaultdict(list), 0
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for own in by.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+        total = sum(n for _, n in own)
+        assert total <= 2048
+        if total & (total - 1):
+            assert 2048 - total < len(own) and len({n for _, n in own}) == 1
+            lost += 2048 - total
+    return lost / sum(r.length for r in rows)
+
+
+def test_pieces():
+    for n in (*range(1, 2100), 5000, 6143):
+        got = packing.pieces(n)
+        assert [s for s, _ in got] == [sum(k for _, k in got[:i]) for i in range(len(got))] and sum(k for _, k in got) == n
+        assert all(k == 2048 // (2048 // k) for _, k in got) and len(got) <= n // 2048 + 6
+
+
+def test_packing_of_documents(spark):
+    """Documents of a test table: little padding, and few pieces (more in a small table, where many bins do not fill)."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack_documents(docs, tokenizer_path()).collect()
+    full = sum(r.length == 2048 for r in rows)
+    print(padding(rows), (len(rows) - full) / docs.count())
+    assert padding(rows) < 0.005 and (len(rows) - full) / docs.count() < 4.5
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -132,14 +164,7 @@ def test_packing(spark):
         assert [x for r in own for x in r.ids] == ids.tolist() and {r.doc_tokens for r in own} == {len(ids)}
         for r in own:
             assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and r.length == len(r.ids)
-    by = collections.defaultdict(list)
-    for r in rows:
-        by[r.sequence_id].append((r.offset, r.length))
-    for own in by.values():
-        own.sort()
-        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
-        total = sum(n for _, n in own)
-        assert total <= 2048 and total & (total - 1) == 0  # no padding
+    assert padding(rows) < 0.002
     assert packing.pack_documents(frame(spark, ["a"]).limit(0), tokenizer_path()).count() == 0
 
 
