@@ -31,11 +31,11 @@ def filled(field_id: str) -> Column:
     return F.filter(values(field_id), lambda v: ~blank(v))
 
 
-def field_messages(f: Field) -> Column:
-    """Messages of one field of one record: missing, repeated, and one for each wrong value."""
+def field_messages(f: Field, own: Column | None = None) -> Column:
+    """Messages of one field of one record: missing, repeated, and one for each wrong value. own: its filled values, if a column has them."""
     row = lambda text: F.struct(F.lit("error").alias("level"), F.col("record_id").alias("item"), text.alias("message"))
     none = F.array().cast(_MESSAGES)
-    own = filled(f.field_id)
+    own = filled(f.field_id) if own is None else own
     wrong = F.transform(own, lambda v: value_message(f, v))
     found = F.transform(F.filter(wrong, lambda m: m.isNotNull()), lambda m: row(F.concat(F.lit(f"{f.field_id}: "), m)))
     if not f.repeatable:
@@ -53,7 +53,9 @@ def unknown_fields(schema: Schema) -> Column:
 def validate_records(records: DataFrame, schema: Schema) -> DataFrame:
     """(level, item, message, ord): every message of every record. Records without any give no row."""
     unknown = F.transform(unknown_fields(schema), lambda k: F.struct(F.lit("warning").alias("level"), F.col("record_id").alias("item"), F.concat(F.lit("Unknown field not defined in schema: "), k).alias("message")))
-    parts = [F.concat(*(field_messages(f) for f in schema.fields[i : i + CHUNK])) for i in range(0, len(schema.fields), CHUNK)] + [unknown]
+    records = records.select("ord", "record_id", "fields", *(filled(f.field_id).alias(f"_v{i}") for i, f in enumerate(schema.fields)))  # each is used several times
+    own = [field_messages(f, F.col(f"_v{i}")) for i, f in enumerate(schema.fields)]
+    parts = [F.concat(*own[i : i + CHUNK]) for i in range(0, len(own), CHUNK)] + [unknown]
     frame = records.select("ord", *(p.cast(_MESSAGES).alias(f"_m{i}") for i, p in enumerate(parts)))
     return frame.select("ord", F.explode(F.concat(*(F.col(f"_m{i}") for i in range(len(parts))))).alias("m")).select("m.level", "m.item", "m.message", "ord")
 

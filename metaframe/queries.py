@@ -360,12 +360,22 @@ def apply_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record_id", F.col("fields")["quality"][0].alias("quality"), F.col("fields")["language"][0].alias("language"), "n_applied")
 
 
-@query("SELECT 'doc_' || doc_id AS record_id, 1.0::DOUBLE AS confidence, 'Ignored non-schema field returned by model: odd; character_count: Discarded invalid integer value: many' AS warnings FROM documents WHERE false UNION ALL SELECT 'doc_' || doc_id, 1.0::DOUBLE, 'Ignored non-schema field returned by model: odd' FROM documents")
+@query(
+    """SELECT 'doc_' || doc_id AS record_id, CASE doc_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 END::DOUBLE AS confidence, CASE doc_id % 4 WHEN 0 THEN '3' WHEN 1 THEN doc_id::VARCHAR END AS quality,
+    CASE doc_id % 4 WHEN 0 THEN 'Ignored non-schema field returned by model: odd' WHEN 1 THEN 'w; quality: Multiple values returned for a non-repeatable field; kept the first non-empty value.' WHEN 2 THEN 'Model output did not contain a valid fields object.' ELSE '' END AS warnings,
+    CASE doc_id % 4 WHEN 3 THEN 'The model response does not contain a JSON object.' END AS error FROM documents"""
+)
 def normalize_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A value that cannot be coerced goes, and so does its warning."""
-    rows = document_records(spark, sf_dir).select("record_id", F.lit('{"fields": {"quality": {"value": 3, "confidence": 7}, "character_count": "many", "odd": 1}}').alias("answer"))
-    found = extraction.normalize(rows, SCHEMA)
-    return found.select("record_id", F.col("confidences")["quality"].alias("confidence"), F.array_join("warnings", "; ").alias("warnings"))
+    """Answers of four kinds: parts and a value that cannot be coerced (which goes with its warning), lists, no fields object, no JSON."""
+    docs = document_records(spark, sf_dir)
+    n = F.col("ord").cast("string")
+    answer = (
+        F.when(F.col("ord") % 4 == 0, F.lit('{"fields": {"quality": {"value": 3, "confidence": 7}, "character_count": "many", "odd": 1}}'))
+        .when(F.col("ord") % 4 == 1, F.concat(F.lit('{"fields": {"quality": {"value": [" ", "'), n, F.lit('"], "confidence": "0.25"}}, "warnings": ["w", " "]} as asked')))
+        .when(F.col("ord") % 4 == 2, F.lit('{"fields": [1]}')).otherwise(F.lit("none {"))
+    )
+    found = extraction.normalize(docs.select("record_id", answer.alias("answer")), SCHEMA)
+    return found.select("record_id", F.col("confidences")["quality"].alias("confidence"), F.col("fields")["quality"][0].alias("quality"), F.array_join("warnings", "; ").alias("warnings"), "error")
 
 
 @query("SELECT * FROM (VALUES ('title', 1), ('publication_year', 2), ('corpus_id', 3), ('corpus_name', 4), ('corpus_type', 5), ('text_id', 6), ('author', 7)) t(field_id, pos)")
