@@ -5,6 +5,8 @@ There is no join of records with fields; each field becomes a few expressions ov
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +33,16 @@ def filled(field_id: str) -> Column:
     return F.filter(values(field_id), lambda v: ~blank(v))
 
 
-def field_messages(f: Field, own: Column | None = None) -> Column:
-    """Messages of one field of one record: missing, repeated, and one for each wrong value. own: its filled values, if a column has them."""
+#: A rule of one's own: from a stripped value to a message, null if there is nothing to say.
+Rule = Callable[[Column], Column]
+
+
+def field_messages(f: Field, own: Column | None = None, rule: Rule | None = None) -> Column:
+    """Messages of one field of one record: missing, repeated, and one for each wrong value. own: its filled values, if a column has them; rule: asked of values that are right otherwise."""
     row = lambda text: F.struct(F.lit("error").alias("level"), F.col("record_id").alias("item"), text.alias("message"))
     none = F.array().cast(_MESSAGES)
     own = filled(f.field_id) if own is None else own
-    wrong = F.transform(own, lambda v: value_message(f, v))
+    wrong = F.transform(own, lambda v: F.coalesce(value_message(f, v), rule(strip(v))) if rule else value_message(f, v))
     found = F.transform(F.filter(wrong, lambda m: m.isNotNull()), lambda m: row(F.concat(F.lit(f"{f.field_id}: "), m)))
     if not f.repeatable:
         found = F.concat(F.when(F.size(own) > 1, F.array(row(F.lit(f"Field is not repeatable: {f.field_id}")))).otherwise(none), found)
@@ -50,11 +56,11 @@ def unknown_fields(schema: Schema) -> Column:
     return F.array_sort(F.array_except(F.coalesce(F.map_keys("fields"), F.array().cast("array<string>")), F.array(*map(F.lit, schema.ids())).cast("array<string>")))
 
 
-def validate_records(records: DataFrame, schema: Schema) -> DataFrame:
-    """(level, item, message, ord): every message of every record. Records without any give no row."""
+def validate_records(records: DataFrame, schema: Schema, rules: Mapping[str, Rule] | None = None) -> DataFrame:
+    """(level, item, message, ord): every message of every record. Records without any give no row. rules: by field id, one's own rules."""
     unknown = F.transform(unknown_fields(schema), lambda k: F.struct(F.lit("warning").alias("level"), F.col("record_id").alias("item"), F.concat(F.lit("Unknown field not defined in schema: "), k).alias("message")))
     records = records.select("ord", "record_id", "fields", *(filled(f.field_id).alias(f"_v{i}") for i, f in enumerate(schema.fields)))  # each is used several times
-    own = [field_messages(f, F.col(f"_v{i}")) for i, f in enumerate(schema.fields)]
+    own = [field_messages(f, F.col(f"_v{i}"), (rules or {}).get(f.field_id)) for i, f in enumerate(schema.fields)]
     parts = [F.concat(*own[i : i + CHUNK]) for i in range(0, len(own), CHUNK)] + [unknown]
     frame = records.select("ord", *(p.cast(_MESSAGES).alias(f"_m{i}") for i, p in enumerate(parts)))
     return frame.select("ord", F.explode(F.concat(*(F.col(f"_m{i}") for i in range(len(parts))))).alias("m")).select("m.level", "m.item", "m.message", "ord")

@@ -49,6 +49,13 @@ def test_validation_of_one_record(spark):
     assert [r.message for r in found.where("item = 'none'").collect()] == ["Required field is empty: t"]
 
 
+def test_own_rules(spark):
+    s = Schema(fields=[Field("n", data_type="integer", repeatable=True)])
+    rule = lambda v: F.when(v.cast("long") % 2 == 1, F.concat(v, F.lit(" is odd")))
+    found = validate_records(rows_of(spark, ("r", {"n": ["1", " 3 ", "4", "x"]})), s, {"n": rule})
+    assert sorted(r.message for r in found.collect()) == ["n: 1 is odd", "n: 3 is odd", "n: invalid literal for int() with base 10: 'x'"]
+
+
 def test_flatten(spark):
     s = Schema(fields=[Field("author"), Field("record_type", order=5)])
     got = flatten(rows_of(spark, ("r", {"author": ["x", "", "y"], "record_type": ["own"]}), ("s", {"author": [""]})), s).orderBy("record_id").collect()
