@@ -24,6 +24,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of the documents that all stages keep.
+
+    Null and empty texts pass all stages (packing gives them the end token alone), and so do rows of a null id; an
+    empty table gives an empty one. Rows that repeat an id are one document for line dedup and the n-gram join.
+    Ties are decided by the least id, and by line number.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
