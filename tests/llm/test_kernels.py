@@ -1,10 +1,12 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from metaframe.llm import kernels
 from metaframe.llm.components import local_forest
 from metaframe.llm.kernels import NOT_ALNUM, Texts, shingles, unique_within
 
@@ -53,3 +55,39 @@ def test_local_forest(edges):
             parts.remove(pv)
             pu |= pv
     assert all(label.get(x, x) == min(next(p for p in parts if x in p)) for x in range(13))
+
+
+def test_a_very_long_word_needs_memory_in_proportion():
+    """A word of 64 MB: no table grows with it, and words of the same start or end differ."""
+    size = 64 << 20
+    column = pa.array(["x" * size + " tail", "x" * (size - 1) + "y"])
+    tracemalloc.start()
+    w = Texts(column).words()
+    hashes = w.hashes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.diff(w.first).tolist() == [2, 1] and len(np.unique(hashes)) == 3
+    assert peak < 14 * 2 * size and len(kernels._POWERS) < 1 << 20
+
+
+def test_words_that_collide_as_sums_of_powers_differ():
+    """Thue-Morse words of 1,024 letters and their complements have one polynomial hash modulo 2**64 in any odd base."""
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - b for b in bits]
+    for n in (64, 128, 255, 256, 1024, 4096):
+        pair = ["".join("ab"[b ^ flip] for b in bits[:n]) for flip in (0, 1)]
+        assert len(np.unique(Texts(pa.array(pair)).words().hashes())) == 2
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 400), st.integers(0, 600)), max_size=8))
+def test_span_hashes_depend_on_the_span_alone(spans):
+    data = np.frombuffer(np.random.default_rng(1).bytes(1200), dtype=np.uint8)
+    data = np.concatenate([data, data])
+    spans.sort()
+    starts, ends = (np.array([s for s, _ in spans], dtype=np.int64), np.array([s + n for s, n in spans], dtype=np.int64))
+    for table in (kernels.BYTE_VALUES, None):
+        a = kernels.span_hashes(data, starts, ends, table)
+        assert (a == kernels.span_hashes(data, starts + 1200, ends + 1200, table)).all()
+        assert [len({bytes(data[s:e]) for s, e in zip(starts, ends, strict=True)})] == [len(np.unique(a))]
