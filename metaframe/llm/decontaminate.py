@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaframe.llm.kernels import NOT_ALNUM, U64, Texts, batches
+from metaframe.llm.kernels import NOT_ALNUM, U64, Texts, batches, distinct
 from metaframe.llm.shared import with_row
 
 WINDOW = 13
@@ -32,7 +32,7 @@ class Windows:
     def __init__(self, names: list[str], texts: list[str | None], counts: dict[int, int] | None = None):
         words = Texts(pa.array(texts, pa.string())).words(NOT_ALNUM)
         self.hashes, first = words.hashes(), words.first
-        self.vocabulary = np.unique(self.hashes)
+        self.vocabulary = distinct(self.hashes)
         self.names = names
         seen = np.array([(counts or {}).get(int(h), 0) for h in self.vocabulary])
         rarity = seen[np.searchsorted(self.vocabulary, self.hashes)]

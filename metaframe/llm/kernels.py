@@ -183,8 +183,14 @@ def list_array(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), int64(values))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort: many times as fast for 64-bit hashes as a table of them."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def unique_within(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each document."""
-    parts = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    parts = [distinct(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     out = np.concatenate(parts) if parts else np.zeros(0, U64)
     return out, np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))

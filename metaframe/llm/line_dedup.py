@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaframe.llm.components import components, local_forest
-from metaframe.llm.kernels import BYTE_VALUES, LOWER, U64, WHITE, Texts, batches, int64, list_array, mix, span_hashes, trim
+from metaframe.llm.kernels import BYTE_VALUES, LOWER, U64, WHITE, Texts, batches, distinct, int64, list_array, mix, span_hashes, trim
 from metaframe.llm.shared import small, written
 
 SHINGLE = 8
@@ -119,7 +119,7 @@ class Lines:
         width = np.maximum(self.last - self.first - SHINGLE + 1, 0)
         line = np.repeat(np.arange(len(width)), width)
         at = np.repeat(self.first - np.cumsum(width) + width, width) + np.arange(len(line))
-        key = np.unique((line.astype(U64) << U64(50)) | (self.rolled(0, self.size)[at] >> U64(14)))
+        key = distinct((line.astype(U64) << U64(50)) | (self.rolled(0, self.size)[at] >> U64(14)))
         return key & U64((1 << 50) - 1), np.searchsorted(key, np.arange(len(width) + 1, dtype=U64) << U64(50))
 
 
