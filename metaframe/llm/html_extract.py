@@ -1,7 +1,8 @@
 """Main text of web pages: marked structure, and runs that repeat in a suffix array of each host's token streams.
 
 A page becomes blocks of text, each in a zone: chrome (menus, headers, footers, sidebars, notices, adverts,
-forms, comments), the article where the page marks one, or neutral text. The token streams of a host's pages are
+forms, comments), the article where the page marks one, or neutral text. An article that is smaller than the neutral
+text around it is one part of the page's main text; one that is not leaves the text around it out. The token streams of a host's pages are
 concatenated and sorted as a suffix array; neighbours with a longest common prefix of RUN tokens or more are one
 repeated run, and its distinct pages are counted (pages of one text count once). Boilerplate is
 
@@ -54,6 +55,8 @@ CHROME_WORDS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+PAGE_TAGS = frozenset(("html", "body"))
 SCOPES = frozenset("article section div td th body html main aside nav li blockquote table".split())
 
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -63,8 +66,8 @@ def _zone_of(tag: str, found: dict[str, str], within: bool) -> int | None:
     """CHROME or ARTICLE if the element says so; within: it lies in an article."""
     if tag in CHROME_TAGS or tag == "header" and not within:
         return CHROME
-    if found:
-        words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
+    if found and tag not in PAGE_TAGS:  # the page's own class ("has-sidebar") tells of parts of it
+        words = set() if tag == "main" else set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
         if words & CHROME_WORDS or found.get("role", "").lower() in CHROME_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
             return CHROME
         if found.get("role") == "main" or found.get("itemprop") == "articleBody":
@@ -97,6 +100,10 @@ class _Open:
         del self.stack[k:]
         return True
 
+    def within(self, tag: str) -> bool:
+        """The innermost open element has this name."""
+        return bool(self.stack) and self.stack[-1][0] == tag
+
     @property
     def zone(self) -> int:
         return self.stack[-1][1] if self.stack else NEUTRAL
@@ -126,6 +133,9 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if found is None:
             end = page.find("<", at + 1)
             end = end if end > 0 else len(page)
+            if opened.within("head") and page[at:end].strip():
+                close()
+                opened.close("head")
             if opened.zone != block_zone and text:
                 close()
             block_zone = opened.zone
@@ -142,6 +152,9 @@ def blocks(page: str) -> list[tuple[str, int]]:
         else:
             if tag not in INLINE:
                 close()
+            if tag not in IN_HEAD and opened.within("head"):  # its end tag may be left out
+                close()
+                opened.close("head")
             if tag in RAW:
                 at = scan.skip_raw(tag, at)
                 continue
@@ -153,9 +166,12 @@ def blocks(page: str) -> list[tuple[str, int]]:
             own = _zone_of(tag, attributes, bool(opened.count["article"] or opened.count["main"]) or zone == ARTICLE)
             opened.push(tag, own if zone != CHROME and own is not None else zone)
     close()
-    if any(z == ARTICLE for _, z in out):  # what a marked article leaves out is not of the article
+    size = Counter[int]()
+    for block, zone in out:
+        size[zone] += len(block)
+    if size[ARTICLE] >= size[NEUTRAL]:  # what a marked article leaves out is not of the article
         return [(b, CHROME if z == NEUTRAL else z) for b, z in out]
-    return out
+    return out  # marks of a smaller part are of teasers or cards; what repeats is found by its runs
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -442,6 +442,27 @@ def test_html_structure():
     assert text("<p title='a > b' data-x=\"<nav>\">one</p><p id=x/>two<br/>three</p><div class=ad>no</div>") == "one two three"
 
 
+def test_html_keeps_the_page():
+    """No open head, class of the page or marked teaser takes the main text along."""
+    text = lambda page: html_extract.main_text_of(html_extract.blocks(page), NONE, NONE)
+    assert text("<html><head><meta charset=x><title>T</title><body><p>one</p><article>two three</article>") == "two three"
+    assert text("<head><title>T</title><link rel=x><p>one</p>") == text("<head><title>T</title>\none") == "one"
+    assert text("<head><title>T</title></head><body><p>one</p>") == text("<head><script>x</script><div>one</div></head>") == "one"
+    assert text("<html class='no-banner'><body class='has-sidebar' id='page-nav'><nav>no</nav><p>one</p><div class='sidebar'>no</div>") == "one"
+    assert text("<main class='with-sidebar'><p>one</p><div class='sidebar'>no</div></main>") == "one"
+    assert text("<div class=card><article>a teaser</article></div><div><p>The main text is not marked.</p></div>") == "a teaser The main text is not marked."
+    assert text("<div>short</div><article>The main text is marked.</article>") == "The main text is marked."
+    assert text("<article>one<div class='comment'>no</div></article>") == "one" and text("<article class='comment'>no</article><p>one</p>") == "one"
+
+
+def test_html_teasers_and_runs(spark):
+    """Unmarked text beside a marked teaser is main text but for what repeats on the host's pages."""
+    common = "home news sport weather travel culture about us contact imprint"
+    page = lambda i: f"<div>{common}</div><article>card {i}</article><div>{' '.join(prose(i, 30))}</div>"
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame([(i, "http://h/", page(i)) for i in range(8)], "page_id long, url string, html string")).collect()}
+    assert got == {i: f"card {i} {' '.join(prose(i, 30))}" for i in range(8)}
+
+
 def test_html_in_linear_time():
     """Broken markup that would take a backtracking pattern, or a search from each tag, more than its length."""
     began = time.process_time()
