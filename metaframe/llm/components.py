@@ -70,7 +70,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node with a link, root the least node that it reaches; edges has long columns u and v, never null.
 
     Loops, both directions and repeated edges may occur. An empty table gives an empty table. Every round is
-    written to the shared folder, so a lost executor costs at most one round.
+    written to the shared folder, so a lost executor costs at most one round. Edges that Python makes should be a
+    written table: else a task has two Python workers at once, and both stay for the tasks that follow.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = written(edges.mapInArrow(_forests, "u long, v long").distinct(), "forest")

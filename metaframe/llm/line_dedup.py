@@ -246,7 +246,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = small(written(pairs.select(F.explode(F.array("u", "v")).alias("hash")).distinct(), "asked"))
     texts = written(docs.select("text").mapInArrow(_squeezed, "hash long, chars string").join(asked, "hash").dropDuplicates(["hash"]), "texts")
     linked = pairs.join(texts.select(F.col("hash").alias("u"), F.col("chars").alias("left")), "u").join(texts.select(F.col("hash").alias("v"), F.col("chars").alias("right")), "v")
-    found = components(linked.select("u", "v", "left", "right").mapInArrow(_verified, "u long, v long"))
+    found = components(written(linked.select("u", "v", "left", "right").mapInArrow(_verified, "u long, v long"), "links"))
     more = written(_within_buckets(met.drop("low"), found, texts), "more")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))

@@ -217,7 +217,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = blocks.repartition("block").sortWithinPartitions("block")
     more = written(blocks.mapInArrow(_block_pairs, "u long, v long").distinct(), "more")
     if not more.isEmpty():
-        links = links.unionByName(_links(more.join(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"), nodes, docs))
+        links = links.unionByName(written(_links(more.join(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"), nodes, docs), "links"))
         found = written(components(links), "components")
     named = nodes.select("fp", "id").join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("fp", "component_id")

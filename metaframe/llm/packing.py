@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaframe.llm.kernels import batches
+from metaframe.llm.kernels import batches, trim
 
 CAPACITY = 2048
 END_ID = 1
@@ -160,6 +160,9 @@ def _packer(path: str, with_ids: bool, schema: pa.Schema) -> Callable[[Iterator[
                     out.clear()
         out += bins.rest()
         yield flush()
+        out.clear()
+        encode = bins = None
+        trim()
 
     return pack
 

@@ -84,6 +84,38 @@ def test_stages_of_odd_tables(spark, tmp_path, sf):
             assert {r.doc_id for r in docs.collect()} == left
 
 
+def _workers_of_a_task(df):
+    """The Python operators of the last stage of df: those that no exchange parts from its rows."""
+    n, below = 0, None
+    for line in df._jdf.queryExecution().executedPlan().treeString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if below is not None and depth > below:
+            continue
+        below = depth if "Exchange" in line.split("(")[0] else None
+        n += "MapInArrow" in line
+    return n
+
+
+def test_a_task_of_the_pipeline_has_one_python_worker(spark, sf, monkeypatch):
+    """Workers outlive their tasks, so a stage with two of them for a task leaves two for each core to all later ones."""
+    import corpus_pipeline
+
+    kind, most = type(spark.range(0)), []
+    plain = kind.mapInArrow
+
+    def counted(self, *a, **b):
+        out = plain(self, *a, **b)
+        most.append(_workers_of_a_task(out))
+        return out
+
+    once = plain(spark.range(9), lambda stream: stream, "id long")
+    assert _workers_of_a_task(plain(once, lambda stream: stream, "id long")) == 2
+    assert _workers_of_a_task(plain(once.repartition(3), lambda stream: stream, "id long")) == 1
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    corpus_pipeline.run(spark, sf)
+    assert len(most) > 10 and set(most) == {1}
+
+
 def test_empty_tables(spark, tmp_path, sf):
     """Every query on tables without rows; conversations have the trap alone."""
     import corpus_pipeline
