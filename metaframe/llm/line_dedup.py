@@ -7,8 +7,9 @@ and the first line of each component stays, in the order of document id and line
 shingle link with equal ones alone.
 
 Nodes are distinct lines, so that any number of equal lines is one node; a task signs a line once, not each of its
-copies. Members of a band's bucket are compared with its least member first; where that leaves a bucket with several
-components, its members of different ones are compared with each other, in blocks of bounded size.
+copies. Keys travel packed, in parts by their first bits, and a part's buckets are found by one sort. Members of a
+band's bucket are compared with its least member first; where that leaves a bucket with several components, its
+members of different ones are compared with each other, in blocks of bounded size.
 
 A line's node is a hash of 64 bits; of n distinct lines n * n / 4e19 pairs would share one by chance.
 """
@@ -20,22 +21,29 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaframe.llm.components import components, local_forest
-from metaframe.llm.kernels import BYTE_VALUES, LOWER, U64, WHITE, Texts, batches, distinct, int64, list_array, mix, span_hashes, trim
+from metaframe.llm.kernels import LOWER, U64, WHITE, Texts, batches, distinct, int64, mix, trim
 from metaframe.llm.shared import small, written
 
-SHINGLE = 8
+SHINGLE = 8  # a power of two
 # Lines link when 10 * intersection >= 8 * union, a similarity of 0.8.
 BANDS, ROWS = 10, 4
-#: Shingles that are signed at once, and hashes of lines that a task remembers to have signed.
-PIECE, SEEN = 1 << 17, 300_000
+#: Bytes of texts and shingles that are worked on at once, so that arrays stay in a core's cache.
+BYTES, PIECE = 1 << 19, 1 << 15
+#: Hashes of lines that a task remembers to have signed.
+SEEN = 300_000
+#: Parts of the keys, a power of two, and pairs of key and line that a task holds before it packs or reduces them.
+PARTS, PAIRS = 1 << 12, 1 << 20
 #: Most lines whose shingles are sorted together.
 LINES = 1 << 13
 #: Most lines of a block in which all are compared, and most characters, about.
 BLOCK, BLOCK_CHARS = 256, 1 << 18
+_LOWER, _WHITE = LOWER.tobytes(), bytes(np.flatnonzero(WHITE).tolist())
+_STEPS = [(1 << i, U64(pow(0x5851F42D4C957F2D, 1 << i, 1 << 64))) for i in range(SHINGLE.bit_length() - 1)]
 _SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)).astype(np.uint32) | np.uint32(1)
 
 
@@ -48,15 +56,16 @@ class Lines:
         breaks = np.flatnonzero(raw == 10)
         starts = np.sort(np.concatenate([texts.offsets[:-1], breaks + 1]), kind="stable")
         ends = np.sort(np.concatenate([texts.offsets[1:], breaks]), kind="stable")
-        solid = ~WHITE[raw]
-        rank = np.concatenate(([0], np.cumsum(solid, dtype=np.int64)))
-        self.data, self.start, self.end = LOWER[raw[solid]], rank[starts], rank[ends]
+        white = np.flatnonzero((raw == 32) | (raw - np.uint8(9) < 5))
+        self.text = raw.tobytes().translate(_LOWER, _WHITE)
+        self.data = np.frombuffer(self.text, dtype=np.uint8)
+        self.start, self.end = starts - np.searchsorted(white, starts), ends - np.searchsorted(white, ends)
         per_doc = np.diff(np.searchsorted(breaks, texts.offsets)) + 1
         self.doc = np.repeat(np.arange(len(texts)), per_doc)
         self.number = np.arange(len(starts)) - np.repeat(np.concatenate(([0], np.cumsum(per_doc)[:-1])), per_doc)
-        lead = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80, dtype=np.int64)))
-        self.first, self.last = lead[self.start], lead[self.end]
-        self.size = int(lead[-1])
+        inner = np.flatnonzero((self.data & 0xC0) == 0x80)
+        self.first, self.last = self.start - np.searchsorted(inner, self.start), self.end - np.searchsorted(inner, self.end)
+        self.size = len(self.data) - len(inner)
 
     def filled(self) -> np.ndarray:
         return np.flatnonzero(self.end > self.start)
@@ -65,22 +74,20 @@ class Lines:
         return np.flatnonzero(self.last - self.first >= SHINGLE)
 
     def hashes(self, lines: np.ndarray) -> np.ndarray:
-        return span_hashes(self.data, self.start[lines], self.end[lines], BYTE_VALUES)
+        spans = zip(self.start[lines].tolist(), self.end[lines].tolist(), strict=True)
+        return np.fromiter((xxhash.xxh3_64_intdigest(self.text[a:b]) for a, b in spans), dtype=U64, count=len(lines))
 
     @cached_property
     def points(self) -> np.ndarray:
-        found = np.frombuffer(self.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+        found = np.frombuffer(self.text.decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
         return found if len(found) == self.size else self.data[(self.data & 0xC0) != 0x80].astype(np.uint32)  # what is no UTF-8
 
     def rolled(self, lo: int, hi: int) -> np.ndarray:
-        """The hash of the shingle that begins at each of these characters."""
-        h = mix(self.points[lo : hi + SHINGLE - 1].astype(U64))
-        out = np.zeros(hi - lo, dtype=U64)
-        for j in range(SHINGLE):
-            out *= U64(0x5851F42D4C957F2D)
-            part = h[j : j + hi - lo]
-            out[: len(part)] += part
-        return mix(out)
+        """The hash of the shingle that begins at each of these characters: a polynomial, by its halves, mixed."""
+        h = self.points[lo : hi + SHINGLE - 1].astype(U64)
+        for step, power in _STEPS:
+            h = h[:-step] * power + h[step:]
+        return mix(h)
 
     def keys(self, lines: np.ndarray) -> np.ndarray:
         """The BANDS keys of each line, which has SHINGLE characters or more. Lines are signed in pieces of bounded size."""
@@ -119,14 +126,31 @@ class Lines:
         width = np.maximum(self.last - self.first - SHINGLE + 1, 0)
         line = np.repeat(np.arange(len(width)), width)
         at = np.repeat(self.first - np.cumsum(width) + width, width) + np.arange(len(line))
-        key = distinct((line.astype(U64) << U64(50)) | (self.rolled(0, self.size)[at] >> U64(14)))
+        key = distinct((line.astype(U64) << U64(50)) | (self.rolled(0, max(0, self.size - SHINGLE + 1))[at] >> U64(14)))
         return key & U64((1 << 50) - 1), np.searchsorted(key, np.arange(len(width) + 1, dtype=U64) << U64(50))
 
 
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], ids: pa.DataType) -> pa.RecordBatch:
+    """A row for each part: its pairs of key and hash. held: lines' keys and hashes."""
+    keys = np.concatenate([k for k, _ in held]).ravel()
+    part = (keys >> U64(65 - PARTS.bit_length())).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    pairs = np.empty((len(keys), 2), dtype=U64)
+    pairs[:, 0], pairs[:, 1] = keys[order], np.repeat(np.concatenate([h for _, h in held]), BANDS)[order]
+    sizes = np.bincount(part, minlength=PARTS)
+    parts = np.flatnonzero(sizes)
+    bounds = np.concatenate(([0], np.cumsum(sizes[parts]) * pairs.strides[0])).astype(np.int32)
+    blobs = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(bounds), pa.py_buffer(pairs)])
+    none = pa.nulls(len(parts), pa.int64())
+    return pa.record_batch([pa.nulls(len(parts), ids), none, none, pa.array(parts.astype(np.int32)), blobs], names=["id", "line", "hash", "part", "pairs"])
+
+
 def _signatures(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each filled line's hash; its keys where the task meets it first, if it has a shingle."""
+    """A row of each filled line's hash, without a part; by parts, the keys of lines that the task meets first, if they have a shingle."""
     seen: set[int] = set()
-    for batch in batches(stream, 1 << 20):
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    ids = None
+    for batch in batches(stream, BYTES):
         lines = Lines(batch.column(1))
         own = lines.filled()
         hashes = lines.hashes(own)
@@ -138,21 +162,76 @@ def _signatures(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(seen) > SEEN:
             seen.clear()
         new &= lines.last[own] - lines.first[own] >= SHINGLE
-        keys = lines.keys(own[new])
-        ids = batch.column(0).take(pa.array(lines.doc[own]))
-        yield pa.record_batch([ids, pa.array(lines.number[own].astype(np.int64)), int64(hashes), list_array(keys.ravel(), np.concatenate(([0], np.cumsum(new))) * BANDS)], names=["id", "line", "hash", "keys"])
+        ids = batch.column(0).type
+        rows = [batch.column(0).take(pa.array(lines.doc[own])), pa.array(lines.number[own].astype(np.int64)), int64(hashes), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())]
+        yield pa.record_batch(rows, names=["id", "line", "hash", "part", "pairs"])
+        for at in range(0, int(new.sum()), PAIRS // BANDS):
+            some = np.flatnonzero(new)[at : at + PAIRS // BANDS]
+            held.append((lines.keys(own[some]), hashes[some]))
+            if BANDS * sum(len(h) for _, h in held) >= PAIRS:
+                yield _packed(held, ids)
+                held = []
+    if held:
+        yield _packed(held, ids)
+        held = []
+    trim()
+
+
+def _buckets(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part: key, hash and low, the members of each key that several lines have and the least of them.
+
+    A part of more than PAIRS pairs is met in steps, each of which leaves the least hash of every key to the next.
+    So memory goes by a part's keys, not by their members; such a least one may be a member of two steps, and then
+    comes twice.
+    """
+    part, held, size, limit = None, [], 0, PAIRS
+
+    def met() -> pa.RecordBatch:
+        pairs = np.concatenate(held)
+        order = np.argsort(pairs[:, 0])
+        key = pairs[order, 0]
+        same = key[1:] == key[:-1]
+        many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        single = pairs[order[~many]]
+        key, node = pairs[order[many]].T
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+        members = np.diff(first, append=len(key))
+        low, several = np.repeat(node[first], members), np.repeat(members > 1, members)
+        held[:] = [single, np.stack([key[first], node[first]], axis=1)]
+        return pa.record_batch([pa.array(x[several]) for x in (key, node, low)], names=["key", "hash", "low"])
+
+    for batch in stream:
+        for at, pairs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if at != part and size >= PAIRS // 8:  # small parts are met together
+                yield met()
+                held[:], size, limit = [], 0, PAIRS
+            part = at
+            held.append(np.frombuffer(pairs.as_buffer(), dtype=np.int64).reshape(-1, 2))
+            size += len(held[-1])
+            if size >= limit:
+                yield met()
+                size = sum(map(len, held))
+                limit = max(PAIRS, 2 * size)
+    if held:
+        yield met()
+    trim()
 
 
 def _squeezed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hash and the characters of each line that has a shingle, where the task meets it first."""
     seen: set[int] = set()
-    for batch in batches(stream, 1 << 20):
+    for batch in batches(stream, BYTES):
         lines = Lines(batch.column(0))
         own = lines.with_shingles()
         own = own[[h not in seen and not seen.add(h) for h in lines.hashes(own).tolist()]] if len(own) else own
         if len(seen) > SEEN:
             seen.clear()
-        chars = pa.LargeStringArray.from_buffers(len(lines.start), pa.py_buffer(np.append(lines.start, lines.end[-1:]).tobytes()), pa.py_buffer(lines.data.tobytes()))
+        chars = pa.LargeStringArray.from_buffers(len(lines.start), pa.py_buffer(np.append(lines.start, lines.end[-1:]).tobytes()), pa.py_buffer(lines.text))
         yield pa.record_batch([int64(lines.hashes(own)), chars.take(pa.array(own)).cast(pa.string())], names=["hash", "chars"])
 
 
@@ -238,10 +317,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, line, hash, component) of each filled line, and (component, id, line) of the one that stays."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
-    signed = written(docs.mapInArrow(_signatures, f"id {id_type}, line long, hash long, keys array<long>"), "signed")
-    keys = signed.select("hash", F.explode("keys").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high").select("key", "low")
-    met = written(keys.join(buckets, "key").select("key", "hash", "low").distinct(), "met")
+    signed = written(docs.mapInArrow(_signatures, f"id {id_type}, line long, hash long, part int, pairs binary"), "signed")
+    parts = signed.where("part is not null").select("part", "pairs").repartition("part").sortWithinPartitions("part")
+    met = written(parts.mapInArrow(_buckets, "key long, hash long, low long"), "met")
     pairs = written(met.where("hash <> low").select(F.col("hash").alias("u"), F.col("low").alias("v")).distinct(), "pairs")
     asked = small(written(pairs.select(F.explode(F.array("u", "v")).alias("hash")).distinct(), "asked"))
     texts = written(docs.select("text").mapInArrow(_squeezed, "hash long, chars string").join(asked, "hash").dropDuplicates(["hash"]), "texts")
@@ -250,7 +328,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = written(_within_buckets(met.drop("low"), found, texts), "more")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-    lines = signed.drop("keys").join(small(found), F.col("hash") == F.col("node"), "left").select("id", "line", "hash", F.coalesce("root", "hash").alias("component"))
+    lines = signed.where("part is null").select("id", "line", "hash").join(small(found), F.col("hash") == F.col("node"), "left").select("id", "line", "hash", F.coalesce("root", "hash").alias("component"))
     lines = written(lines, "lines")
     return lines, written(lines.groupBy("component").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first.id", "first.line"), "stay")
 

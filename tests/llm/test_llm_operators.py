@@ -246,6 +246,45 @@ def test_signatures_of_long_lines_are_those_of_their_pieces(monkeypatch):
         assert (lines.keys(own) == whole).all()
 
 
+def test_line_dedup_shuffles_packed_keys_once(spark, monkeypatch):
+    plans = {}
+    written = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, what: (plans.update({what: df._jdf.queryExecution().executedPlan().toString()}), written(df, what))[1])
+    lines, _ = line_dedup.repeated_lines(frame(spark, ["\n".join(" ".join(prose(i, 9)) for i in (k, k + 1)) for k in range(4)]))
+    assert lines.count() == 8 and lines.select("component").distinct().count() == 5
+    assert plans["met"].count("Exchange") == 1 and not any(x in plans["met"] for x in ("Generate", "Aggregate", "Join"))
+
+
+def test_line_dedup_meets_the_members_of_all_keys(monkeypatch):
+    """In one step, and in steps of few pairs: the same members, and each key's members hang together."""
+    r = np.random.default_rng(5)
+    pool = r.integers(0, 1 << 64, 900, dtype=np.uint64)
+    pool[:200] = pool[0] + np.arange(200, dtype=np.uint64)  # keys of one part
+    hashes = r.integers(0, 1 << 64, 300, dtype=np.uint64)
+    keys = pool[np.minimum(r.integers(0, 900, (300, line_dedup.BANDS)), r.integers(0, 900, (300, line_dedup.BANDS)))]
+    keys[:, 0] = pool[7]
+    held = [(keys[:180], hashes[:180]), (keys[90:], hashes[90:])]  # some pairs come twice
+    expected = {}
+    for k, h in zip(keys.view(np.int64).tolist(), hashes.view(np.int64).tolist(), strict=True):
+        for key in k:
+            expected.setdefault(key, set()).add(h)
+    expected = {k: v for k, v in expected.items() if len(v) > 1}
+    packed = [line_dedup._packed([x], pa.int64()).select(["part", "pairs"]) for x in held]
+    rows = pa.Table.from_batches(packed).sort_by("part")
+    for limit in (line_dedup.PAIRS, 160, 8):
+        monkeypatch.setattr(line_dedup, "PAIRS", limit)
+        got = [x for b in line_dedup._buckets(rows.to_batches(max_chunksize=50)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        members, stars = {}, {}
+        for key, h, low in got:
+            members.setdefault(key, set()).add(h)
+            stars.setdefault(key, []).append((h, low))
+        assert members == expected
+        for key, links in stars.items():
+            assert len(links) == len(expected[key]) or limit < 200
+            _, roots = line_dedup.local_forest(*np.array(links, dtype=np.int64).T)
+            assert set(roots.tolist()) == {min(expected[key])} and len(roots) == len(expected[key]) - 1
+
+
 def test_line_dedup_equals_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     gone = line_removals([(r.doc_id, r.text) for r in docs.collect()])
